@@ -10,6 +10,7 @@ MODULES = {
     "op4_chat_format": "chat_format",
     "op5_media": "media",
     "op9_secrets": "secrets",
+    "op10_toxicity": "toxicity",
 }
 
 
