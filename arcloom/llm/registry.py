@@ -9,6 +9,7 @@ MODULES = {
     "op3_url_filter": "url_filter",
     "op4_chat_format": "chat_format",
     "op5_media": "media",
+    "op6_bpe": "bpe",
     "op9_secrets": "secrets",
     "op10_toxicity": "toxicity",
 }
