@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module.
 MODULES = {
+    "op1_decontaminate": "decontaminate",
     "op3_url_filter": "url_filter",
     "op4_chat_format": "chat_format",
     "op5_media": "media",
