@@ -39,21 +39,30 @@ def gram(h: Column, at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(h, at + j) for j in range(k)])
 
 
-def with_fingerprints(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """df (with `words`) plus `hits`: array of (len, at, hash) to look up.
+def let(value: Column, body) -> Column:
+    """body of value, which is computed once: the optimizer would copy it into each use inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    len is K for selected k-grams, and a short item's length else, where every run of
+
+def fingerprints(words: Column, lengths: list[int]) -> Column:
+    """Array of (len, at, hash) to look up.
+
+    len is 0 for selected k-grams, and a short item's length else, where every run of
     that many words is taken.
     """
-    df = df.withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).withColumn("n", F.size("words"))
-    df = df.withColumn("g", F.transform(up_to(F.col("n") - K + 1), lambda i: gram(F.col("h"), i, K)))
-    df = df.withColumn("least", F.transform(up_to(F.size("g") - W + 1), lambda i: F.least(*[F.get(F.col("g"), i + j) for j in range(W)])))
-    chosen = F.filter(up_to(F.when(F.size("least") > 0, F.size("g")).otherwise(0)), lambda i: F.get(F.col("g"), i) == F.greatest(*[F.get(F.col("least"), i - j) for j in range(W)]))
-    parts = [F.transform(chosen, lambda i: F.struct(F.lit(0).alias("len"), i.alias("at"), F.get(F.col("g"), i).alias("hash")))]
-    for m in lengths:
-        runs = up_to(F.col("n") - m + 1)
-        parts.append(F.transform(runs, lambda i, m=m: F.struct(F.lit(m).alias("len"), i.alias("at"), gram(F.col("h"), i, m).alias("hash"))))
-    return df.withColumn("hits", F.concat(*parts) if len(parts) > 1 else parts[0])
+
+    def selected(g: Column) -> Column:
+        windows = F.transform(up_to(F.size(g) - W + 1), lambda i: F.least(*[F.get(g, i + j) for j in range(W)]))
+        return let(windows, lambda m: F.filter(up_to(F.when(F.size(m) > 0, F.size(g)).otherwise(0)), lambda i: F.get(g, i) == F.greatest(*[F.get(m, i - j) for j in range(W)])))
+
+    def of(h: Column) -> Column:
+        grams = F.transform(up_to(F.size(h) - K + 1), lambda i: gram(h, i, K))
+        parts = [let(grams, lambda g: F.transform(selected(g), lambda i: F.struct(F.lit(0).alias("len"), i.alias("at"), F.get(g, i).alias("hash"))))]
+        for m in lengths:
+            parts.append(F.transform(up_to(F.size(h) - m + 1), lambda i, m=m: F.struct(F.lit(m).alias("len"), i.alias("at"), gram(h, i, m).alias("hash"))))
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    return let(F.transform(words, lambda x: F.xxhash64(x)), of)
 
 
 def reach(doc: Column, at: Column, item: Column, item_at: Column, step: int, start: Column, most: int) -> Column:
@@ -76,14 +85,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
     same = items.groupBy("words").agg(F.min("item").alias("rep"), F.collect_set("item").alias("items")).cache()
     lengths = [r[0] for r in same.select(F.size("words").alias("n")).where(f"n < {WINDOW}").distinct().orderBy("n").collect()]
-    own = with_fingerprints(same.select("rep", "words"), lengths)
-    short = F.filter("hits", lambda x: F.when(F.col("n") < WINDOW, x["len"] == F.col("n")).otherwise(x["len"] == 0))
-    prints = own.select("rep", F.col("words").alias("item_words"), F.inline(short)).select("rep", "item_words", F.col("len").alias("item_len"), F.col("at").alias("item_at"), "hash")
+    own = same.select("rep", F.col("words").alias("item_words"), F.inline(fingerprints(F.col("words"), lengths)))
+    prints = own.where(F.col("len") == F.when(F.size("item_words") < WINDOW, F.size("item_words")).otherwise(0)).select("rep", "item_words", F.col("len").alias("item_len"), F.col("at").alias("item_at"), "hash")
 
     read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
     # one row that stands for the document itself comes first
     self_row = F.array(F.struct(F.lit(-1).alias("len"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("hash")))
-    made = with_fingerprints(read, lengths).select("doc_id", "text_hash", "words", F.size("words").cast("long").alias("n_words"), F.concat(self_row, "hits").alias("hits"))
+    made = read.select("doc_id", "text_hash", "words", F.size("words").cast("long").alias("n_words"), F.concat(self_row, fingerprints(F.col("words"), lengths)).alias("hits"))
     tried = made.select("doc_id", "text_hash", "n_words", "words", F.inline("hits"))
     near = at_most(prints.select("hash"), BROADCAST_ROWS)
     side = prints.withColumnRenamed("hash", "item_hash")
