@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module.
 MODULES = {
     "op1_decontaminate": "decontaminate",
+    "op2_near_dedup": "near_dedup",
     "op3_url_filter": "url_filter",
     "op4_chat_format": "chat_format",
     "op5_media": "media",
