@@ -12,6 +12,8 @@ MODULES = {
     "op4_chat_format": "chat_format",
     "op5_media": "media",
     "op6_bpe": "bpe",
+    "op7_licenses": "licenses",
+    "op8_substring_dedup": "substring_dedup",
     "op9_secrets": "secrets",
     "op10_toxicity": "toxicity",
 }
