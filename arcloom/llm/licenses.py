@@ -38,11 +38,11 @@ TEMPLATES = {
     "ISC-grant": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
 }
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
-_A, _B = _SEEDS[:BANDS] | np.uint64(1), _SEEDS[BANDS:]
+_A, _B = _SEEDS[:BANDS].astype(np.uint32) | np.uint32(1), _SEEDS[BANDS:].astype(np.uint32)
 
 
 def hashes(s: np.ndarray) -> np.ndarray:
-    return ((s[:, None] * _A + _B) >> np.uint64(32)).astype(np.uint32)
+    return (s >> np.uint64(32)).astype(np.uint32)[:, None] * _A + _B
 
 
 class Scanner:

@@ -33,7 +33,7 @@ AGREE = 47
 #: Signatures in a block of a crowded region. Ids up to this number are broadcast.
 CROWD, BROADCAST_IDS = 2000, 1_000_000
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
-_A, _B = _SEEDS[:HASHES] | np.uint64(1), _SEEDS[HASHES:]
+_A, _B = _SEEDS[:HASHES].astype(np.uint32) | np.uint32(1), _SEEDS[HASHES:].astype(np.uint32)
 
 
 def shingles(text: bytes, cache: WordHashes) -> np.ndarray:
@@ -44,9 +44,9 @@ def shingles(text: bytes, cache: WordHashes) -> np.ndarray:
 
 
 def minima(s: np.ndarray) -> bytes:
-    out = np.full(HASHES, 2**32 - 1, np.uint32)
-    for at in range(0, len(s), 1024):
-        out = np.minimum(out, ((s[at : at + 1024, None] * _A + _B) >> np.uint64(32)).astype(np.uint32).min(axis=0))
+    out, x = np.full(HASHES, 2**32 - 1, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 512):
+        out = np.minimum(out, (x[at : at + 512, None] * _A + _B).min(axis=0))
     return out.astype(">u4").tobytes()
 
 
