@@ -55,11 +55,13 @@ def fingerprints(words: Column, lengths: list[int]) -> Column:
         windows = F.transform(up_to(F.size(g) - W + 1), lambda i: F.least(*[F.get(g, i + j) for j in range(W)]))
         return let(windows, lambda m: F.filter(up_to(F.when(F.size(m) > 0, F.size(g)).otherwise(0)), lambda i: F.get(g, i) == F.greatest(*[F.get(m, i - j) for j in range(W)])))
 
+    def every(h: Column, m: int) -> Column:
+        return F.transform(up_to(F.size(h) - m + 1), lambda i: F.struct(F.lit(m).alias("len"), i.alias("at"), gram(h, i, m).alias("hash")))
+
     def of(h: Column) -> Column:
         grams = F.transform(up_to(F.size(h) - K + 1), lambda i: gram(h, i, K))
         parts = [let(grams, lambda g: F.transform(selected(g), lambda i: F.struct(F.lit(0).alias("len"), i.alias("at"), F.get(g, i).alias("hash"))))]
-        for m in lengths:
-            parts.append(F.transform(up_to(F.size(h) - m + 1), lambda i, m=m: F.struct(F.lit(m).alias("len"), i.alias("at"), gram(h, i, m).alias("hash"))))
+        parts += [every(h, m) for m in lengths]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     return let(F.transform(words, lambda x: F.xxhash64(x)), of)
