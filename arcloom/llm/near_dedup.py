@@ -31,7 +31,7 @@ HASHES, BYTES = TREES * DEPTH, 4
 #: similarity 0.85 fewer agree with probability below 1e-8.
 AGREE = 47
 #: Signatures in a block of a crowded region. Ids up to this number are broadcast.
-CROWD, BROADCAST_IDS = 2000, 1_000_000
+CROWD, BROADCAST_IDS = 500, 1_000_000
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _A, _B = _SEEDS[:HASHES].astype(np.uint32) | np.uint32(1), _SEEDS[HASHES:].astype(np.uint32)
 
@@ -114,12 +114,16 @@ def neighbours(reps: DataFrame, partitions: int) -> DataFrame:
     return found.where("edge = 0").select("tree", "prefix", "a", "b", "na", "nb").unionByName(met.select("tree", "prefix", "a", F.col("a_next").alias("b"), "na", F.col("na_next").alias("nb")))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b), a < b, whose full sets are similar enough."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, s): the full shingle sets of those ids (stored)."""
     text = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     some = text.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi")
-    sets = stored(some.mapInArrow(set_batches, "doc_id long, s array<bigint>").dropDuplicates(["doc_id"]))
+    return stored(some.mapInArrow(set_batches, "doc_id long, s array<bigint>").dropDuplicates(["doc_id"]))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b), a < b, whose full sets are similar enough."""
+    sets = sets_of(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), docs)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     linked = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
@@ -131,21 +135,38 @@ def ordered(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components whose minima agree often enough, left block against right block."""
+def compare_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between components, left block against right block, confirmed on full sets.
+
+    A link between components that the block has already joined adds nothing, so a block
+    gives fewer links than it has rows.
+    """
     left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
     ls, rs = (np.frombuffer(b"".join(x["sig"]), ">u4").reshape(-1, HASHES).astype(np.uint32) for x in (left, right))
-    lroot, rroot, lid, rid = left["root"].to_numpy(), right["root"].to_numpy(), left["x"].to_numpy(), right["x"].to_numpy()
-    ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
-    out = []
-    for k in range(len(left)):
-        go = np.flatnonzero(((rs == ls[k]).sum(axis=1) >= AGREE) & (rroot != lroot[k]))
-        out.append(pd.DataFrame({"a": np.full(len(go), lid[k]), "b": rid[go], "na": np.full(len(go), ln[k]), "nb": rn[go]}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "na": [], "nb": []}, dtype="int64")
+    (lroot, lid, ln, lset), (rroot, rid, rn, rset) = ([x[c].to_numpy() for c in ("root", "x", "n", "s")] for x in (left, right))
+    above: dict[int, int] = {}
 
+    def top(r: int) -> int:
+        while (up := above.get(r, r)) != r:
+            above[r] = r = above.get(up, up)
+        return r
 
-def crowded(near: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """Further candidates of regions that still hold several components: all outside the largest against all."""
+    out = []
+    for k in range(len(left)):
+        size = 100 * np.minimum(rn, ln[k]) >= percent * np.maximum(rn, ln[k])
+        for j in np.flatnonzero(size & (rroot != lroot[k]) & ((rs == ls[k]).sum(axis=1) >= AGREE)):
+            a, b = top(int(lroot[k])), top(int(rroot[j]))
+            if a == b:
+                continue
+            shared = len(np.intersect1d(lset[k], rset[j], assume_unique=True))
+            if 100 * shared >= percent * (ln[k] + rn[j] - shared):
+                above[max(a, b)] = min(a, b)
+                out.append((int(lid[k]), int(rid[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def crowded(near: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Further links in regions that still hold several components: all outside the largest against all."""
     region = ["tree", "prefix"]
     wide = near.groupBy(*region).agg(F.count("*").alias("c")).where("c > 1").select(*region)
     members = near.join(wide, region).select(*region, F.explode(F.array("a", "b")).alias("x")).distinct()
@@ -154,12 +175,13 @@ def crowded(near: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
     members = stored(members.join(split, region))
     sizes = members.groupBy(*region, "root").agg(F.count("*").alias("c")).groupBy(*region).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"))
     sizes = sizes.select(*region, F.col("top.root").alias("largest"), F.ceil((F.col("all") - F.col("top.c")) / CROWD).cast("int").alias("nl"), F.ceil(F.col("all") / CROWD).cast("int").alias("nr"))
-    rows = members.join(sizes, region).join(reps.select(F.col("rep").alias("x"), "n", "sig"), "x")
+    sets = sets_of(stored(members.select(F.col("x").alias("doc_id")).distinct()), docs).withColumnRenamed("doc_id", "x")
+    rows = members.join(sizes, region).join(reps.select(F.col("rep").alias("x"), "n", "sig"), "x").join(sets, "x")
     block = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("root <> largest").select(*region, block("nl").alias("l"), each("nr").alias("r"), F.lit(0).alias("side"), "x", "root", "n", "sig")
-    right = rows.select(*region, each("nl").alias("l"), block("nr").alias("r"), F.lit(1).alias("side"), "x", "root", "n", "sig")
-    return left.unionByName(right).groupBy(*region, "l", "r").applyInPandas(compare_block, "a long, b long, na long, nb long")
+    left = rows.where("root <> largest").select(*region, block("nl").alias("l"), each("nr").alias("r"), F.lit(0).alias("side"), "x", "root", "n", "sig", "s")
+    right = rows.select(*region, each("nl").alias("l"), block("nr").alias("r"), F.lit(1).alias("side"), "x", "root", "n", "sig", "s")
+    return left.unionByName(right).groupBy(*region, "l", "r").applyInPandas(lambda block: compare_block(block, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -180,9 +202,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     tested = stored(ordered(near, percent))
     links = stored(confirmed(tested, docs, percent))
     roots = components(links)
-    more = stored(ordered(crowded(near, roots, reps), percent).join(tested, ["a", "b"], "left_anti"))
+    more = stored(crowded(near, roots, reps, docs, percent))
     if not more.isEmpty():
-        roots = components(links.unionByName(confirmed(more, docs, percent)))
+        roots = components(links.unionByName(more))
     group = classes.select("d1", "d2", "n", "rep").join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.col("n").alias("cn"), F.coalesce("root", "rep").alias("component"))
     out = sketch.select("doc_id", "n", "d1", "d2").join(group.withColumnRenamed("cn", "n"), ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNull() | F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component"))
