@@ -232,6 +232,13 @@ def redact(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(redact_batches, docs.schema)
 
 
+def scan_and_redact(docs: DataFrame) -> DataFrame:
+    """What scan_secrets and then redact give, in one pass: a task keeps one Python worker instead of two."""
+    kept = docs.drop("spans")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
+    return kept.mapInArrow(lambda b: redact_batches(scan_batches(b)), ", ".join([*fields, "spans array<struct<kind:string,start:int,end:int>>"]))
+
+
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in scan_batches(batches):
         spans = batch.column("spans").to_pylist()

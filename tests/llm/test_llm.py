@@ -127,6 +127,7 @@ def test_structures():
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token = abcdef0123 end"), (2, None)], "doc_id long, text string")
     assert [r.text for r in secrets.redact(secrets.scan_secrets(df)).orderBy("doc_id").collect()] == ["é [ASSIGN] end", None]
+    assert secrets.scan_and_redact(df).orderBy("doc_id").collect() == secrets.redact(secrets.scan_secrets(df)).orderBy("doc_id").collect()
 
 
 def test_licenses_brute_force(spark):
