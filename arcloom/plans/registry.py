@@ -6,12 +6,16 @@ Each query runs over its whole tables; the topology is derived from `customer`
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.ordered import prefix_sum
 from ..operators import blocks, merge, neighbors, order, props
+from ..sources.container import read_container, write_container
 from ..sources.grid import WIDTH, grid, refs_of, tile_selection
 
 QUERIES: dict = {}
@@ -363,6 +367,36 @@ def block_local_offsets(spark, d):
     return blocks.block_offsets(_blocks(spark, d))
 
 
+def stored_grid(spark: SparkSession, sf_dir: str) -> str:
+    """The derived topology, written as a quantized container in the shared folder."""
+    g = grid(spark, sf_dir)
+    features = g.features.select("layer", "geom_id", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").cast("double").alias("acctbal"), F.struct(F.col("c_nationkey").alias("nation")).alias("at"))).alias("properties"))
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="arcloom-")
+    path = f"{folder.rstrip('/')}/container-{uuid.uuid4().hex}"
+    write_container({"arcs": g.arcs, "arc_refs": g.arc_refs, "features": features}, path, {"scale": [1, 1], "translate": [0, 0]})
+    return path
+
+
+@query("SELECT arc_id, sx, sy, ex, ey FROM arcs")
+def container_arcs(spark, d):
+    return read_container(spark, stored_grid(spark, d)).select("arc_id", "sx", "sy", "ex", "ey")
+
+
+@query("SELECT 'cell' AS layer, geom_id, 0 AS poly_idx, 0 AS ring_idx, pos::INT AS pos, arc_ref::INT AS arc_ref, arc_id::INT AS arc_id, forward FROM r")
+def container_arc_refs(spark, d):
+    return read_container(spark, stored_grid(spark, d), "arc_refs", layer="cell")
+
+
+@query('SELECT g AS geom_id, c_name AS name, c_acctbal::DOUBLE AS acctbal, nation::SMALLINT AS "at/nation" FROM cells')
+def container_columns(spark, d):
+    return read_container(spark, stored_grid(spark, d), "features", layer="cell")
+
+
+@query("SELECT arc_id, sx, sy, ex, ey FROM arcs WHERE arc_id IN (0, 5, 77)")
+def container_arcs_by_id(spark, d):
+    return read_container(spark, stored_grid(spark, d), ids="0,5,77").select("arc_id", "sx", "sy", "ex", "ey")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -33,6 +33,10 @@ ARCS = "arc_id int, points array<struct<x:double,y:double>>, sx double, sy doubl
 SPLIT = 8 << 20
 
 
+def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def varints(values: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Zigzag LEB128 of 32-bit integers, and how many bytes each takes."""
     v = np.asarray(values, np.int64)
@@ -97,7 +101,7 @@ class Container:
     """A container's footer, and its sections by positional reads; a compressed region is opened once."""
 
     def __init__(self, path: str):
-        fs, where = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+        fs, where = located(path)
         self.file, self.regions = fs.open_input_file(where), {}
         size = self.file.size()
         if size < HEADER + 8:
@@ -295,7 +299,7 @@ def assemble(path: str, meta: dict, sections: list[tuple[str, str, bytes, bool]]
         out += small + bytes(-len(small) % ALIGN)
     text = json.dumps(meta | {"sections": entries}, separators=(",", ":")).encode()
     footer = struct.pack("<II", len(rows), len(text)) + b"".join(rows) + text
-    fs, where = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+    fs, where = located(path)
     with fs.open_output_stream(where) as f:
         f.write(bytes(out) + footer + struct.pack("<Q", len(footer)))
 
