@@ -67,3 +67,38 @@ def test_columns():
     for bad in ([1, "a"], [2**32], [[1]]):
         with pytest.raises(ValueError):
             ct.pack_column(bad)
+
+
+def test_partitioned_sections(spark, tmp_path):
+    """Offsets and references in frames, and two sections in one compressed region, as other writers store them."""
+    import struct
+
+    import zstandard
+
+    tables, path, other = read_topology(spark, json.dumps(TOPOLOGY)), str(tmp_path / "t.bin"), str(tmp_path / "p.bin")
+    ct.write_container(tables, path, TOPOLOGY["transform"], target=8)
+    c, press = ct.Container(path), zstandard.ZstdCompressor().compress
+    offsets, refs = c.arc_offsets(), c.arc_refs("a")
+    parts, table, at = [], [], 0
+    for a, b in ((0, 1), (1, 4)):
+        parts.append(press(ct.deltas(offsets[a : b + 1] - offsets[a])))
+        table += [a, at, len(parts[-1])]
+        at += len(parts[-1])
+    frames = [press(refs[:2].tobytes()), press(refs[2:].tobytes())]
+    quads = [0, 0, len(frames[0]), 8, 2, len(frames[0]), len(frames[1]), refs[2:].nbytes]
+    sections = [(n, s["type"], c.bytes_of(n), bool(s.get("delta"))) for n, s in c.sections.items() if n not in ("arc_offsets", "a/arc_refs")]
+    sections += [("ob", "u32", np.array(table, "<u4").tobytes(), False), ("op", "blob", b"".join(parts), False), ("a/arc_refs_blocks", "u32", np.array(quads, "<u4").tobytes(), False), ("a/arc_refs_partitions", "blob", b"".join(frames), False)]
+    meta = c.meta | {"arcOffsetsBlocks": {"blockTableSection": "ob", "partitionsSection": "op", "blockCount": 2}}
+    meta["layers"] = [x | ({"arcRefsBlocks": {"blockTableSection": "a/arc_refs_blocks", "partitionsSection": "a/arc_refs_partitions", "blockCount": 2}} if x["name"] == "a" else {}) for x in meta["layers"]]
+    ct.assemble(other, meta, sections, frozenset({"arc_coords", "op", "a/arc_refs_partitions"}))
+    p = ct.Container(other)
+    assert (p.arc_offsets() == offsets).all() and (p.arc_refs("a") == refs).all()
+    assert ct.read_container(spark, other).orderBy("arc_id").collect() == tables["arcs"].orderBy("arc_id").collect()
+    ct.rewrite_container(other, str(tmp_path / "q.bin"), {"a/n": [1, 2, 3]})
+    assert (ct.Container(str(tmp_path / "q.bin")).arc_refs("a") == refs).all()
+    region = struct.pack("<4i", 1, 2, 3, 4)
+    small = press(region)
+    p.at = lambda offset, length: small
+    for k, name in enumerate(("g1", "g2")):
+        p.sections[name] = {"type": "i32", "compression": "zst", "offset": -1, "length": len(small), "groupOffset": 8 * k, "groupLength": 8, "uncompressedRegionLength": 16}
+    assert p.numbers("g1").tolist() == [1, 2] and p.numbers("g2").tolist() == [3, 4]
