@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, at_most, load, runs_hash, sha, stored, texts
+from .common import WordHashes, at_most, discard, load, runs_hash, sha, stored, texts
 
 #: Words in a window, and in the prefixes of the sparse tree; prefixes in a selecting window.
 WINDOW, PREFIX = 20, 8
@@ -125,10 +125,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     prefixes = stored(unique.mapInArrow(prefix_batches, "doc_id long, at int, prefix long"))
     branching = prefixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
     places = stored(prefixes.join(branching, "prefix").groupBy("doc_id").agg(F.collect_set("at").alias("at")))
+    discard(prefixes)
     suffixes = stored(among(unique, places.select("doc_id"), "left_semi").join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(suffix_batches, "doc_id long, start int, w1 long, w2 long"))
+    discard(places)
     nodes = suffixes.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
     later = suffixes.join(nodes, ["w1", "w2"]).where(F.struct("doc_id", "start") > F.col("first"))
     starts = stored(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
+    discard(suffixes)
 
     hit = starts.select("doc_id")
     rest = among(unique, hit, "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy"))
