@@ -165,12 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """Weights from at most `sample` labelled documents that aren't held out, picked by a hash of doc_id.
 
     Rows with a null doc_id or label are not used. The bound holds at every size, so one
-    task trains. Without both labels the model is its bias.
+    task trains. Without both labels, or any rows, the model is its bias.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     picked = known.select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label").limit(2 * sample)
     out = rows.coalesce(1).mapInArrow(fit_batches, "weights binary").first()
+    if out is None:  # no partition, so no task ran
+        return train([], np.empty(0, int))
     return np.frombuffer(out[0], np.float32).astype(float)
 
 
