@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of `documents`. What a stage returns is written as Parquet and read again.
+
+Defined cases: a null or empty text is never toxic, near another, contaminated or secret
+and has no ids; rows without doc_id stay; rows that repeat a doc_id stay or go together
+where a stage decides by doc_id; without labels nothing is toxic; an empty table stays
+empty; further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -22,10 +27,19 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "doc_id", "left_anti").select(docs.columns)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """text, and all other columns as the struct `row`, so that no column of an operator's clashes with them."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     weights = toxicity.fit(docs, load(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, weights).where("predicted = 0").select(docs.columns)
+    return unpacked(toxicity.score_toxicity(packed(docs), weights).where("predicted = 0"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +54,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; n_chars follows the text."""
-    clean = secrets.scan_and_redact(docs)
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    clean = secrets.scan_and_redact(packed(docs))
+    n = F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(clean.withColumn("row", F.col("row").withField("n_chars", n)), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
