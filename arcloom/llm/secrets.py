@@ -3,7 +3,8 @@
 Pattern matches are the base. Beyond them, base64 and hex runs are decoded and
 reported only if their bytes parse: DER keys, whose nested lengths must fit exactly,
 OpenSSH key containers, PEM private keys, and signed tokens whose header is JSON that
-names an algorithm.
+names an algorithm. DER and OpenSSH data tell their own length, so they are tried at
+every place where one can start, whatever stands before or behind, and over wrapped lines.
 """
 
 from __future__ import annotations
@@ -25,15 +26,22 @@ from .common import load, sha, texts
 KINDS = ["assign", "access", "hex", "pem", "jwt", "der", "openssh"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----\s+([A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+(?:[nrt]|(?=/)))+)-----END \1-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_-])")
 WORDS = (b"passw", b"secret", b"token", b"api")
 OPENSSH = b"openssh-key-v1\0"
+#: What may stand between the pieces of a wrapped key: white space, quotes, escaped line ends, the backslash of an escaped slash.
+SPACE = b"\t\n\v\f\r \"'"
+BREAK = re.compile(rb"[\t-\r \"']+|\\+(?:[nrt]|(?=/))")
+PEM_BREAK = re.compile(r"\s+|\\+(?:[nrt]|(?=/))")
+#: Places where a DER sequence or the magic of OpenSSH can start, and what its run goes on with.
+BASE64_START, BASE64_RUN = re.compile(rb"M(?:[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA"), re.compile(rb"[A-Za-z0-9+/_-]*")
+HEX_START, HEX_RUN = re.compile(rb"30(?:[0-7]|8[1-4])"), re.compile(rb"[0-9a-fA-F]*")
+#: Least characters of a key in base64 (with padding) and hex; least characters of a wrapped key's pieces but the last.
+LEAST_BASE64, LEAST_HEX, LEAST_PIECE = 40, 64, 16
 
 CLASS = np.zeros(256, np.uint8)
 CLASS[list(b"0123456789abcdef")] |= 1
-CLASS[list(b"0123456789abcdefABCDEF")] |= 2
-CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=")] |= 4
 
 
 def decoded(run: bytes) -> bytes | None:
@@ -84,24 +92,95 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_openssh(data: bytes) -> bool:
-    """The magic, then cipher, KDF, its options, a count and that many keys, each with its length."""
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the container at the start of data: the magic, then cipher, KDF, its options, a count and that many keys, each with its length."""
     if not data.startswith(OPENSSH):
-        return False
+        return None
     at, count = len(OPENSSH), None
     for k in range(99):
         if at + 4 > len(data):
-            return False
+            return None
         n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
         if k == 3:
             count = n
             continue
         if at + n > len(data):
-            return False
+            return None
         at += n
         if count is not None and k >= 4 + count:
-            return at == len(data)
-    return False
+            return at
+    return None
+
+
+def is_openssh(data: bytes) -> bool:
+    return openssh_size(data) == len(data)
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the sequence that starts with head if it can be a private key: next is a version of 0 or 1, or a sequence."""
+    if len(head) < 2 or head[0] != 0x30:
+        return None
+    n, at = head[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4:
+            return None
+        n, at = int.from_bytes(head[2 : 2 + k], "big"), 2 + k
+    fits = head[at : at + 1] == b"\x30" or head[at : at + 3] in (b"\2\1\0", b"\2\1\1")
+    return at + n if fits else None
+
+
+def base64_key(run: bytes) -> tuple[str, int] | None:
+    """(kind, characters) of the key at the start of run, which has no padding."""
+    if run.startswith(b"b"):
+        n = openssh_size(decoded(run[: len(run) - (len(run) % 4 == 1)]) or b"")
+        return ("openssh", -(-4 * n // 3)) if n else None
+    n = der_size(decoded(run[:12]) or b"")
+    size = -(-4 * n // 3) if n else 0
+    if not n or size > len(run) or size + -size % 4 < LEAST_BASE64:
+        return None
+    return ("der", size) if is_der_key(decoded(run[:size]) or b"") else None
+
+
+def hex_key(run: bytes) -> tuple[str, int] | None:
+    n = der_size(bytes.fromhex(run[: min(18, len(run) & ~1)].decode()))
+    if not n or not LEAST_HEX <= 2 * n <= len(run):
+        return None
+    return ("der", 2 * n) if is_der_key(bytes.fromhex(run[: 2 * n].decode())) else None
+
+
+def keys_in(doc: bytes) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end), in bytes, of the DER and OpenSSH keys.
+
+    Of a wrapped key all pieces but the last have LEAST_PIECE characters or more and the
+    last ends with the key, so that words behind a cut key do not complete it.
+    """
+    dense = BREAK.sub(b"", doc) if b"\\" in doc else doc.translate(None, SPACE)
+    places = None
+    for start, run, key_of in ((BASE64_START, BASE64_RUN, base64_key), (HEX_START, HEX_RUN, hex_key)):
+        at, end = 0, 0
+        while m := start.search(dense, at):
+            at = m.start() + 1
+            if m.end() > end:
+                end = run.match(dense, m.start()).end()
+            if not (found := key_of(dense[m.start() : end])):
+                continue
+            if places is None:
+                here = np.ones(len(doc), bool)
+                for gap in BREAK.finditer(doc):
+                    here[gap.start() : gap.end()] = False
+                places = np.flatnonzero(here)
+            kind, size = found
+            own = places[m.start() : m.start() + size]
+            a, b = int(own[0]), int(own[-1]) + 1
+            # a backslash alone (of an escaped slash) does not end a piece
+            cuts = [c for c in (np.flatnonzero(np.diff(own) > 1) + 1).tolist() if doc[own[c - 1] + 1 : own[c]].strip(b"\\")]
+            if cuts and (min(np.diff([0, *cuts])) < LEAST_PIECE or doc[b : b + 1].isalnum()):
+                continue
+            while doc[b : b + 1] == b"=":
+                b += 1
+            yield kind, a, b
+            at = m.start() + size
 
 
 def is_token(header: str, payload: str) -> bool:
@@ -155,7 +234,7 @@ def scan_batch(docs: list[bytes]) -> list[list[tuple[int, int, int]]]:
                 add("access", k, *m.span())
     for k in holds(b"PRIVATE KEY-----"):
         for m in PEM.finditer(docs[k].decode("utf-8", "replace")):
-            data = decoded("".join(m[2].split()).encode())
+            data = decoded(PEM_BREAK.sub("", m[2]).encode())
             if data and (is_der_key(data) or is_openssh(data)):
                 add("pem", k, *m.span())
     for k in holds(b"eyJ"):
@@ -165,16 +244,9 @@ def scan_batch(docs: list[bytes]) -> list[list[tuple[int, int, int]]]:
     classes = CLASS[np.frombuffer(joined, np.uint8)]
     for a, b in long_runs((classes & 1) > 0, 24):
         add("hex", k := owner(a), *points(k, a, b))
-    for a, b in long_runs((classes & 2) > 0, 64):
-        run = joined[a:b]
-        if run.startswith(b"30") and len(run) % 2 == 0 and is_der_key(bytes.fromhex(run.decode())):
-            add("der", k := owner(a), *points(k, a, b))
-    for a, b in long_runs((classes & 4) > 0, 40):
-        if joined[a : a + 1] in b"Mb":
-            data = decoded(joined[a:b]) or b""
-            for kind, fits in (("der", is_der_key), ("openssh", is_openssh)):
-                if fits(data):
-                    add(kind, k := owner(a), *points(k, a, b))
+    for k, doc in enumerate(docs):
+        for kind, a, b in keys_in(doc):
+            add(kind, k, *points(k, a + int(starts[k]), b + int(starts[k])))
     return [sorted(found.get(k, ())) for k in range(len(docs))]
 
 

@@ -124,6 +124,30 @@ def test_structures():
     assert found == [{"der"}, set(), {"der"}, {"jwt"}, set(), {"openssh"}, {"pem", "der"}]
 
 
+def test_keys_at_any_place():
+    def der(tag, data):
+        return bytes([tag]) + (bytes([len(data)]) if len(data) < 128 else b"\x82" + len(data).to_bytes(2, "big")) + data
+
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([9 + j] * 41)) for j in range(8)))
+    ssh = secrets.OPENSSH + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"pub" * 30, b"key" * 40))
+    for data, kind in ((key, "der"), (ssh, "openssh")):
+        b64 = b64encode(data).decode()
+        assert b64.endswith("=") or len(data) % 3 == 0
+        lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+        whole = [b64, "\n".join(lines), "\r\n    ".join(lines), "\\n".join(lines), "\\\\r\\\\n".join(lines), " ".join(lines), '"\n  "'.join(lines), b64.replace("/", "\\/"), b64.rstrip("="), b64.replace("+", "-").replace("/", "_")]
+        for body in whole:
+            for before, after in (("", ""), ("é PRIVATE_KEY=", " end"), ("/path/", "\n"), ("a-b_", "-----END"), ('{"key":"\\n', '\\n"}'), ("words before\n", "\n\nwords behind"), ("TLSKEY", '"')):
+                text = before + body + after
+                got = [(secrets.KINDS[k], a, b) for a, k, b in secrets.scan_batch([b"other", text.encode()])[1] if secrets.KINDS[k] not in ("hex", "assign")]
+                assert got == [(kind, len(before), len(before) + len(body))], (before, after, body)
+        assert not secrets.scan_batch([f"KEY={b64[:-8]}\nwords that follow a key which was cut".encode(), b64[:-8].encode(), "\n".join(lines[:-1]).encode()])[0]
+        armour = "-----BEGIN PRIVATE KEY-----\\n" + "\\n".join(lines) + "\\n-----END PRIVATE KEY-----\\n"
+        assert "pem" in {secrets.KINDS[k] for _, k, _ in secrets.scan_batch([armour.encode()])[0]}
+    assert [(a, b) for a, k, b in secrets.scan_batch([f"KEY=cafe{key.hex()}".encode()])[0] if secrets.KINDS[k] == "der"] == [(8, 8 + 2 * len(key))]
+    two = f"A={b64encode(key).decode()} B={b64encode(ssh).decode()}"
+    assert [secrets.KINDS[k] for _, k, _ in secrets.scan_batch([two.encode()])[0]] == ["der", "openssh"]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token = abcdef0123 end"), (2, None)], "doc_id long, text string")
     assert [r.text for r in secrets.redact(secrets.scan_secrets(df)).orderBy("doc_id").collect()] == ["é [ASSIGN] end", None]
