@@ -24,6 +24,9 @@ WINDOW, PREFIX = 20, 8
 SELECT = WINDOW - PREFIX + 1
 #: Ids up to this number are broadcast.
 BROADCAST_IDS = 1_000_000
+#: What tells documents apart, in their order. `own` is 0 where the id alone does, below 0 where texts differ
+#: under one id, and above 0 without an id.
+KEY, KEY_TYPE = ["doc_id", "own"], "doc_id long, own long"
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -45,10 +48,14 @@ def selected(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def rows_of(ids: list[int], parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+def rows_of(keys: list[np.ndarray], parts: list[tuple], names: list[str]) -> pa.RecordBatch:
     sizes = [len(p[0]) for p in parts]
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), sizes)), *(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns)], ["doc_id", *names])
+    return pa.RecordBatch.from_arrays([*(pa.array(np.repeat(k, sizes)) for k in keys), *(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns)], [*KEY, *names])
+
+
+def keys_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.array(batch.column(c).to_pylist(), np.int64) for c in KEY]
 
 
 def prefix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,15 +66,15 @@ def prefix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             at, g = selected(cache.of(text.split()))
             parts.append((at.astype(np.int32), g))
         if parts:
-            yield rows_of(batch.column("doc_id").to_pylist(), parts, ["at", "prefix"])
+            yield rows_of(keys_of(batch), parts, ["at", "prefix"])
 
 
 def suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes (their first 20 words as two hashes) that a repeated prefix covers."""
     cache = WordHashes()
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for i, text, at in zip(ids, texts(batch), batch.column("at").to_pylist(), strict=True):
+        keys = keys_of(batch)
+        for i, (text, at) in enumerate(zip(texts(batch), batch.column("at").to_pylist(), strict=True)):
             h = cache.of(text.split())
             n = len(h) - WINDOW + 1
             near = np.zeros(max(n, 0) + SELECT, bool)
@@ -76,10 +83,10 @@ def suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 near[starts[(starts >= 0) & (starts < n)]] = True
             starts = np.flatnonzero(near[: max(n, 0)])
             if len(starts):
-                yield rows_of([i], [(starts.astype(np.int32), runs_hash(h, WINDOW, 1)[starts], runs_hash(h, WINDOW, 2)[starts])], ["start", "w1", "w2"])
+                yield rows_of([k[i : i + 1] for k in keys], [(starts.astype(np.int32), runs_hash(h, WINDOW, 1)[starts], runs_hash(h, WINDOW, 2)[starts])], ["start", "w1", "w2"])
 
 
-KEPT = "doc_id long, n_words long, n_removed long, kept string"
+KEPT = f"{KEY_TYPE}, n_words long, n_removed long, kept string"
 
 
 def keep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +105,21 @@ def keep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(words))
             gone.append(int(removed.sum()))
             out.append(b" ".join(words if not gone[-1] else [words[k] for k in np.flatnonzero(~removed)]).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], [*KEY, "n_words", "n_removed", "kept"])
 
 
 def among(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return df.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "doc_id", how)
+    return df.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, KEY, how)
+
+
+def with_own(docs: DataFrame) -> DataFrame:
+    """doc_id (2**63 - 1 for null), own and text."""
+    digest = F.xxhash64("text")
+    many = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias("many")))
+    marked = docs.join(F.broadcast(many) if at_most(many, BROADCAST_IDS) else many, "doc_id", "left")
+    positive = F.greatest(F.lit(1).cast("long"), digest.bitwiseAND(F.lit(2**63 - 1)))
+    own = F.when(F.col("doc_id").isNull(), positive).when(F.col("many"), -positive).otherwise(F.lit(0).cast("long"))
+    return marked.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), own.alias("own"), "text")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -111,34 +128,34 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     A word goes if a window of 20 words covers it whose sequence also starts earlier: in a
     row of smaller doc_id, or earlier in the same one. Null or empty texts have no words;
     texts of fewer than 20 words stay whole; a null doc_id comes after all others; rows
-    that repeat doc_id and text are one document and come back as often as given; further
-    columns are not used; an empty table gives no rows.
+    that repeat doc_id and text are one document and come back as often as given; other
+    texts under one doc_id, or without any, are documents of their own, in the order of
+    a 63-bit hash; further columns are not used; an empty table gives no rows.
     """
-    last = F.lit(2**63 - 1)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = docs.select("doc_id", F.md5("text").alias("digest"))
-    firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    docs = with_own(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    keyed = docs.select(*KEY, F.md5("text").alias("digest"))
+    firsts = keyed.groupBy("digest").agg(F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last")).where("first < last").select("digest", "first")
     # of texts that are equal all but the first go whole; they take no part in what follows
-    copies = stored(keyed.join(firsts, "digest").where("doc_id > first").select("doc_id").distinct())
+    copies = stored(keyed.join(firsts, "digest").where(F.struct(*KEY) > F.col("first")).select(*KEY).distinct())
     unique = among(docs, copies, "left_anti")
 
-    prefixes = stored(unique.mapInArrow(prefix_batches, "doc_id long, at int, prefix long"))
+    prefixes = stored(unique.mapInArrow(prefix_batches, f"{KEY_TYPE}, at int, prefix long"))
     branching = prefixes.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    places = stored(prefixes.join(branching, "prefix").groupBy("doc_id").agg(F.collect_set("at").alias("at")))
+    places = stored(prefixes.join(branching, "prefix").groupBy(*KEY).agg(F.collect_set("at").alias("at")))
     discard(prefixes)
-    suffixes = stored(among(unique, places.select("doc_id"), "left_semi").join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(suffix_batches, "doc_id long, start int, w1 long, w2 long"))
+    suffixes = stored(among(unique, places.select(*KEY), "left_semi").join(places, KEY).select(*KEY, "text", "at").mapInArrow(suffix_batches, f"{KEY_TYPE}, start int, w1 long, w2 long"))
     discard(places)
-    nodes = suffixes.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
-    later = suffixes.join(nodes, ["w1", "w2"]).where(F.struct("doc_id", "start") > F.col("first"))
-    starts = stored(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")))
+    nodes = suffixes.groupBy("w1", "w2").agg(F.min(F.struct(*KEY, "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
+    later = suffixes.join(nodes, ["w1", "w2"]).where(F.struct(*KEY, "start") > F.col("first"))
+    starts = stored(later.groupBy(*KEY).agg(F.collect_set("start").alias("starts")))
     discard(suffixes)
 
-    hit = starts.select("doc_id")
-    rest = among(unique, hit, "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy"))
-    cut = among(unique, hit, "left_semi").join(starts, "doc_id").select("doc_id", "text", "starts", F.lit(False).alias("copy"))
-    whole = among(docs, copies, "left_semi").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
+    hit = starts.select(*KEY)
+    rest = among(unique, hit, "left_anti").select(*KEY, "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(False).alias("copy"))
+    cut = among(unique, hit, "left_semi").join(starts, KEY).select(*KEY, "text", "starts", F.lit(False).alias("copy"))
+    whole = among(docs, copies, "left_semi").select(*KEY, "text", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
     out = rest.unionByName(cut).unionByName(whole).mapInArrow(keep_batches, KEPT)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
+    return out.select(F.when(F.col("own") <= 0, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

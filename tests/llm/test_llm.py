@@ -52,6 +52,17 @@ def test_near_dedup_links(spark):
     assert [got[k].kept for k in range(10, 16)] == [True, False, False, True, True, True]
 
 
+def test_substring_null_and_repeated_ids(spark):
+    """Each text is cut by what is before it only, whatever others share its id or lack one too."""
+    run = lambda w, n: " ".join(f"{w}{k}" for k in range(n))
+    a, b, c, d, e = (run(x, n) for x, n in (("a", 40), ("b", 30), ("c", 25), ("d", 90), ("e", 60)))
+    rows = [(1, a), (2, b), (None, a), (None, c), (None, f"{d} {b}"), (None, "short"), (5, d + " x " + c), (5, e), (5, e + " y"), (6, e), (2**63 - 1, c), (None, c)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    fixed = [(1, 40, 0, a), (2, 30, 0, b), (0, 40, 40, ""), (0, 25, 25, ""), (0, 25, 25, ""), (0, 120, 120, ""), (0, 1, 0, "short"), (5, 116, 0, f"{d} x {c}"), (6, 60, 60, ""), (2**63 - 1, 25, 25, "")]
+    # of the two texts under id 5 that share 60 words either may come first
+    assert got in [sorted([*fixed, *two]) for two in ([(5, 60, 0, e), (5, 61, 60, "y")], [(5, 60, 60, ""), (5, 61, 0, e + " y")])]
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "x A b c y a B"), (2, "b c")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b"), (8, "C!"), (9, "a, b")], "item_id long, text string")
