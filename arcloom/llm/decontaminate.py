@@ -79,13 +79,16 @@ def reach(doc: Column, at: Column, item: Column, item_at: Column, step: int, sta
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted ids), text_hash.
 
-    Defined cases: null or empty texts have no words; an item without words or with a null
-    id never occurs; items that repeat a text occur together; rows of docs that repeat
+    Defined cases: null or empty texts have no words; an item without words never
+    occurs; those with a null id count like others, as one in n_items, but have no name in items;
+    items that repeat a text occur together; rows of docs that repeat
     doc_id and text give one row; a null doc_id is an id of its own; further columns are
     not used; with an empty benchmark nothing is contaminated.
     """
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
-    same = items.groupBy("words").agg(F.min("item").alias("rep"), F.collect_set("item").alias("items")).cache()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    # a group of items without any id has a name of its own, which no other item's can be
+    unnamed = F.concat(F.lit("\0"), F.sha2(F.array_join("words", " ").cast("binary"), 256))
+    same = items.groupBy("words").agg(F.min("item").alias("named"), F.collect_set("item").alias("items"), F.max(F.col("item").isNull().cast("long")).alias("nameless")).withColumn("rep", F.coalesce("named", unnamed)).drop("named").cache()
     lengths = [r[0] for r in same.select(F.size("words").alias("n")).where(f"n < {WINDOW}").distinct().orderBy("n").collect()]
     own = same.select("rep", F.col("words").alias("item_words"), F.inline(fingerprints(F.col("words"), lengths)))
     prints = own.where(F.col("len") == F.when(F.size("item_words") < WINDOW, F.size("item_words")).otherwise(0)).select("rep", "item_words", F.col("len").alias("item_len"), F.col("at").alias("item_at"), "hash")
@@ -109,9 +112,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     per_doc = found.groupBy("doc_id", "text_hash", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("rep").alias("reps"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["upto"]))).alias("n"), F.greatest(a["upto"], s["end"]).alias("upto")))["n"]
     per_doc = per_doc.select("doc_id", "text_hash", "n_words", covered.cast("long").alias("n_hit"), "reps")
-    named = per_doc.select("doc_id", "text_hash", "n_words", "n_hit", F.explode_outer("reps").alias("rep")).join(same.select("rep", "items"), "rep", "left")
-    out = named.groupBy("doc_id", "text_hash", "n_words", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "text_hash")
+    named = per_doc.select("doc_id", "text_hash", "n_words", "n_hit", F.explode_outer("reps").alias("rep")).join(same.select("rep", "items", "nameless"), "rep", "left")
+    out = named.groupBy("doc_id", "text_hash", "n_words", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.coalesce(F.max("nameless"), F.lit(0)).alias("nameless"))
+    return out.select("doc_id", "n_words", "n_hit", (F.size("items") + F.col("nameless")).cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "text_hash")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

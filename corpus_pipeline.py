@@ -48,8 +48,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    return without(docs, decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents that hold a window of a benchmark item go; others that share their doc_id, or have none, stay."""
+    found = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).where("contaminated AND doc_id IS NOT NULL")
+    gone = stored(found.select("doc_id", "text_hash").distinct())
+    other = F.broadcast(gone) if at_most(gone, BROADCAST_IDS) else gone
+    return docs.join(other, (docs["doc_id"] == other["doc_id"]) & (F.xxhash64(docs["text"]) == other["text_hash"]), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

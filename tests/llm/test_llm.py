@@ -70,6 +70,19 @@ def test_short_items(spark):
     assert (got[1].n_hit, got[1].items, got[2].n_hit, got[2].items) == (5, ["7", "8", "9"], 1, ["8"])
 
 
+def test_items_without_id(spark):
+    """As in op1's SQL: all items without id are one more item, without a name."""
+    docs = spark.createDataFrame([(1, "x a b y"), (2, "c d"), (3, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b"), (None, "c d"), (9, "C d")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, items).collect()}
+    assert {k: (r.n_hit, r.n_items, r.items, r.contaminated) for k, r in got.items()} == {1: (2, 1, [], True), 2: (2, 2, ["9"], True), 3: (0, 0, [], False)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'x a b y'), (2, 'c d'), (3, 'none')) t(doc_id, text)")
+    con.execute("CREATE TABLE benchmark AS SELECT * FROM (VALUES (NULL, 'a b'), (NULL, 'c d'), (9, 'C d')) t(item_id, text)")
+    want = con.execute(registry.oracle_sql()["op1_decontaminate"]).fetchall()
+    assert sorted(want) == sorted((k, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for k, r in got.items())
+
+
 def test_media(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = media.op5_media(spark, sf).collect()

@@ -48,6 +48,12 @@ def test_stage_on_odd_rows(spark, folder, name, stage):
     assert stage(spark, docs.where("false"), folder).count() == 0
 
 
+def test_decontaminate_decides_by_row(spark, folder):
+    """A clean text stays where another one under its doc_id goes."""
+    docs = spark.createDataFrame([(1, f"a {PASSAGE}"), (1, "clean"), (2, None), (2, f"b {PASSAGE}"), (3, "clean")], "doc_id long, text string")
+    assert as_rows(p.drop_contaminated(spark, docs, folder)) == as_rows(docs.where("text = 'clean' OR text IS NULL"))
+
+
 def test_last_stage_on_odd_rows(spark, folder):
     docs = spark.createDataFrame(ROWS, COLUMNS)
     got = p.encode(spark, docs, folder).collect()
