@@ -80,6 +80,38 @@ class Scanner:
                 top = (len(counts), at[left], p + 1)
         return top if top and top[0] >= LEAST * t else None
 
+    def runs(self, s: np.ndarray, template: int) -> list[tuple[int, int, int]]:
+        """(shingles matched, start, end in shingles) of each run as in `best` that reaches the containment; none overlap.
+
+        A run is settled once no better window overlaps it, and the sweep restarts behind it; what it leaves before itself is swept again.
+        """
+        t = len(self.sets[template])
+        where = np.searchsorted(self.sets[template], s)
+        where[where == t] = 0
+        places = np.flatnonzero(self.sets[template][where] == s).tolist()
+        longest, out, parts = max(1, int(1.25 * t)), [], [places]
+        while parts:
+            at, counts, left, right, top, free = parts.pop(), {}, 0, 0, None, 0
+            while right < len(at) or top:
+                if right < len(at):
+                    p = at[right]
+                    counts[where[p]] = counts.get(where[p], 0) + 1
+                    while at[left] <= p - longest or counts[where[at[left]]] > 1:
+                        counts[where[at[left]]] -= 1
+                        if not counts[where[at[left]]]:
+                            del counts[where[at[left]]]
+                        left += 1
+                    if len(counts) >= LEAST * t and (top is None or len(counts) > top[0]):
+                        top = (len(counts), left, right)
+                    right += 1
+                if top and (right >= len(at) or left > top[2] or top[0] == t):
+                    out.append((top[0], at[top[1]], at[top[2]] + 1))
+                    if top[1] - free >= LEAST * t:
+                        parts.append(at[free : top[1]])
+                    free = left = right = top[2] + 1
+                    counts, top = {}, None
+        return sorted(out, key=lambda x: x[1])
+
     def scan(self, docs: list[bytes]) -> list[list[dict]]:
         """Matches of each text: template, start, end (words), containment."""
         each = [self.shingles(d) for d in docs]
@@ -107,7 +139,7 @@ class Scanner:
                 for a, b in zip(np.searchsorted(bounds, windows * q, side="right") - 1, np.searchsorted(bounds, np.minimum(windows * q + wide * q, len(h)) - 1, side="right") - 1, strict=True):
                     owners.update(range(int(a), int(b) + 1))
                 for d in owners:
-                    if found := self.best(each[d], k):
+                    for found in self.runs(each[d], k):
                         out[d].append({"template": self.names[k], "start": found[1], "end": found[2] + SHINGLE - 1, "containment": found[0] / t})
         return [sorted(x, key=lambda y: (y["start"], y["template"])) for x in out]
 
@@ -116,10 +148,10 @@ MATCH = pa.list_(pa.struct([("template", pa.string()), ("start", pa.int32()), ("
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """Adds `licenses`: array of (template, start, end, containment), one for each template that occurs.
+    """Adds `licenses`: array of (template, start, end, containment), one for each place where a template occurs.
 
-    Places are in words (runs of a-z and 0-9, lower-cased); the best run is given, of equal
-    ones the first. A template of fewer than 5 words never occurs; null and short texts have
+    Places are in words (runs of a-z and 0-9, lower-cased); of runs that overlap the best
+    is given, of equal ones the first. A template of fewer than 5 words never occurs; null and short texts have
     none; every row and its columns stay (one named licenses is replaced).
     """
     templates = TEMPLATES if templates is None else templates

@@ -189,6 +189,16 @@ def test_licenses_brute_force(spark):
     assert scanner.scan([texts[0].encode()])[0][0]["template"] == "MIT-grant"
 
 
+def test_licenses_every_occurrence():
+    grant, notice = licenses.TEMPLATES["MIT-grant"], "Released under the MIT License."
+    n, part = len(licenses.WORD.findall(grant.lower().encode())), " ".join(grant.split()[: int(0.9 * len(grant.split()))])
+    found = licenses.Scanner(licenses.TEMPLATES).scan([x.encode() for x in (f"{notice} " * 3, f"{grant} x y {grant} {grant}", f"{part} {grant}", f"{grant} {part} z")])
+    spans = [[(x["template"], x["start"], x["end"]) for x in f] for f in found]
+    assert spans[0] == [("MIT", 5 * k, 5 * k + 5) for k in range(3)]
+    assert spans[1] == [("MIT-grant", a, a + n) for a in (0, n + 2, 2 * n + 2)]
+    assert [len(x) for x in spans[2:]] == [2, 2] and spans[2][1][2] - spans[2][1][1] == n and spans[3][0][1:] == (0, n)
+
+
 def test_toxicity_learns_from_document_labels():
     rng = np.random.default_rng(1)
     make = lambda bad: ". ".join(" ".join(f"word{k}" for k in rng.integers(0, 300, 12)) + (" vilestuff" if bad and j == 2 else "") for j in range(6))
