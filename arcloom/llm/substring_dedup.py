@@ -1,11 +1,9 @@
-"""Substring dedup on prefix-partitioned suffix trees.
-
-The suffixes of all texts, as word sequences, are split by prefixes of growing length.
-At depth 8 a sparse tree, over the suffixes that winnowing selects, tells which prefixes
-branch; a suffix that no repeated prefix covers hangs alone from its edge and is dropped.
-The others are dealt by their prefix of 20 words, so a prefix that many suffixes share is
-cut further where it is crowded, and each internal node at depth 20 keeps its earliest
-leaf. All later leaves start repeated windows; runs of them are the maximal repeats.
+"""Substring dedup by winnowed prefixes and hashes of windows.
+
+Of each text's 8-word prefixes winnowing selects some in every window of 20 words, and
+those that repeat tell which windows can. Windows that no repeated prefix covers are
+dropped; the others are grouped by their hash, and each group keeps its earliest place.
+All later places start repeated windows, whose words go.
 """
 
 from __future__ import annotations
