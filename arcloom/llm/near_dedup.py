@@ -190,8 +190,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Linked are texts with 100 * shared shingles >= percent * all shingles of both; a
     component is what links reach. Null or wordless texts, and rows without doc_id, are
     linked with nothing and kept; repeated rows come back as often as given; an empty
-    table gives no rows; further columns are not used.
+    table gives no rows; further columns are not used. Trees, depth and AGREE are set for
+    a similarity of 0.8 and more, so a smaller `percent` raises.
     """
+    if percent < 80:
+        raise ValueError(f"percent is {percent}; links below 80 would be missed")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     sketch = stored(docs.mapInArrow(sketch_batches, "doc_id long, n long, d1 long, d2 long, sig binary"))

@@ -52,6 +52,11 @@ def test_near_dedup_links(spark):
     assert [got[k].kept for k in range(10, 16)] == [True, False, False, True, True, True]
 
 
+def test_near_dedup_refuses_small_percent(spark):
+    with pytest.raises(ValueError, match="79"):
+        near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA), 79)
+
+
 def test_substring_null_and_repeated_ids(spark):
     """Each text is cut by what is before it only, whatever others share its id or lack one too."""
     run = lambda w, n: " ".join(f"{w}{k}" for k in range(n))
