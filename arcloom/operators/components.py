@@ -1,33 +1,33 @@
-"""Connected components on DataFrames, by alternating large and small stars, with checkpoints."""
+"""Connected components on DataFrames, by alternating large and small stars, in stored rounds."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder that the session names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="arcloom-"))
-    return df.checkpoint()
+from ..storage import discard, hot_from, join_counted, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges (a, b), root being the smallest node reachable; any orderable type."""
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    """(node, root) for each node of edges (a, b), root being the smallest node reachable; any orderable type.
+
+    Each round hangs every node's larger neighbours, then its smaller ones, under the
+    smallest; rounds grow with the logarithm of the longest path. Rounds are written to the
+    shared folder, and hubs (nodes of very many edges) meet their edges by a broadcast of
+    the hubs, not in one task. Self-loops, nulls and repeats are dropped; no edges give no rows.
+    """
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark, rows = None, now.count()
     while True:
+        hot = hot_from(2 * rows)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = checkpointed(small)
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("a", "m"))
+        large = stored(join_counted(both, low, ["a"], "_n", hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+        small = join_counted(large, low, ["a"], "_n", hot).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        before, now = now, stored(small)
+        discard(before, large)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = new
+        mark, rows = new, new[0]
