@@ -1,16 +1,16 @@
-"""What several operators share: words, 64-bit hashes, stored tables."""
+"""What several operators share: words, 64-bit hashes, output in batches of bounded size."""
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import at_most, discard, hot_from, join_counted, stored  # noqa: F401  (used by the operators)
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -18,41 +18,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="arcloom-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: lineage ends here and survives executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that `stored` gave, once all that was made from them is stored too."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def at_most(df: DataFrame, bound: int) -> bool:
-    """Whether df has at most `bound` rows; reads no more than it must."""
-    return df.limit(bound + 1).count() <= bound
-
-
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash; forgets everything when it holds `most` words, so memory is bounded."""
 

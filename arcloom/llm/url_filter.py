@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, load
+from .common import ASCII_LOWER, ASCII_UPPER, load, stored
 
 #: Fixed values of the query: (host, path, verdict).
 RULES = [
@@ -75,7 +75,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, salt
     salts = salts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = rules.where("host <> ''").select(F.translate("host", ASCII_UPPER, ASCII_LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     # one rule for each host and path; block wins over allow
-    own = own.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("rule_host", host_key(F.col("host"))).cache()
+    own = stored(own.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("rule_host", host_key(F.col("host"))))
 
     top = F.substring_index("key", ".", 1).alias("top")
     hosts = own.select("rule_host").distinct().select(F.substring_index("rule_host", ".", 1).alias("top"), F.col("rule_host").alias("lo"), (F.size(F.split("rule_host", r"\.")) - 1).alias("level"), F.col("rule_host").alias("payload"))
