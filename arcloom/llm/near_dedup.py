@@ -1,16 +1,19 @@
 """Near duplicates by MinHash in an LSH forest.
 
-Texts with equal shingle sets are one class, of which one row is compared. Each tree of
+Texts with equal shingle sets are one class, of which one text is compared. Each tree of
 the forest sorts all signatures by its own order of minima; neighbours whose common
-prefix reaches the least depth are candidates, and as the order goes deeper than that,
-crowded regions are compared at their longest common prefixes. Where a region (equal
-prefix of the least depth) still holds several components, its other pairs follow, in
-blocks of bounded size against all of the region. Candidates are confirmed on full sets.
+prefix reaches the least depth are candidates. A region (equal prefix of the least depth)
+that still holds several components is compared further: its members outside the largest
+component against all, where they are few; where they are many, its members go deeper, to
+groups of longer common prefixes, with as many more orders as the longer prefix needs.
+Candidates are confirmed on full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,20 +23,57 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, at_most, load, mix, runs_hash, stored, texts
-from .components import components
-
-#: Words in a shingle; trees; minima that neighbours must share. Two sets of similarity
-#: 0.85 share them in some tree with probability 1 - (1 - 0.85**4)**20, over 1 - 1e-6.
-SHINGLE, TREES, DEPTH = 5, 20, 4
-HASHES, BYTES = TREES * DEPTH, 4
-#: Of the minima, how many must agree before a pair of a crowded region is confirmed: at
-#: similarity 0.85 fewer agree with probability below 1e-8.
-AGREE = 47
-#: Signatures in a block of a crowded region. Ids up to this number are broadcast.
+from ..operators.components import components
+from .common import WordHashes, at_most, discard, hot_from, join_counted, load, mix, runs_hash, stored, texts
+
+#: Words in a shingle; minima that neighbours must share, and those of deeper groups, the last of which are compared whole.
+SHINGLE, DEPTH, DEEPER = 5, 4, (8, 12, 16)
+#: Probability with which the orders of one depth may miss a pair of the least similarity, and AGREE may.
+MISS, UNLIKE = 1e-6, 1e-8
+BYTES = 4
+#: Members outside the largest component up to which a region is compared at its depth. Ids up to BROADCAST_IDS are broadcast.
 CROWD, BROADCAST_IDS = 500, 1_000_000
-_SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
-_A, _B = _SEEDS[:HASHES].astype(np.uint32) | np.uint32(1), _SEEDS[HASHES:].astype(np.uint32)
+#: Tasks over which the rows of a region are dealt.
+SALTS = 16
+
+
+@dataclass(frozen=True)
+class Forest:
+    """What follows from the least similarity: trees, minima in a signature, and how many must agree before sets are compared."""
+
+    percent: int
+
+    def orders(self, depth: int) -> int:
+        """So many orders miss a pair that shares `depth` minima in none of them with probability MISS at most."""
+        return math.ceil(math.log(MISS) / math.log1p(-((self.percent / 100) ** depth)))
+
+    @property
+    def trees(self) -> int:
+        return self.orders(DEPTH)
+
+    @property
+    def hashes(self) -> int:
+        return self.trees * DEPTH
+
+    @property
+    def agree(self) -> int:
+        """The most that all but UNLIKE of the pairs of the least similarity reach, minima being independent."""
+        n, p, below = self.hashes, self.percent / 100, 0.0
+        for k in range(n + 1):
+            below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            if below > UNLIKE:
+                return k
+        return n
+
+    @property
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        x = mix(np.arange(1, 2 * self.hashes + 1, dtype=np.uint64))
+        return x[: self.hashes].astype(np.uint32) | np.uint32(1), x[self.hashes :].astype(np.uint32)
+
+    def places(self, depth: int) -> np.ndarray:
+        """For each order of that depth the minima that it looks at: drawn anew for each, by a fixed seed."""
+        rng = np.random.default_rng(depth)
+        return np.array([rng.permutation(self.hashes)[:depth] for _ in range(self.orders(depth))])
 
 
 def shingles(text: bytes, cache: WordHashes) -> np.ndarray:
@@ -43,31 +83,48 @@ def shingles(text: bytes, cache: WordHashes) -> np.ndarray:
     return np.unique(runs_hash(h, k, seed=k)) if k else np.empty(0, np.uint64)
 
 
-def minima(s: np.ndarray) -> bytes:
-    out, x = np.full(HASHES, 2**32 - 1, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+def minima(s: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> bytes:
+    a, b = seeds
+    out, x = np.full(len(a), 2**32 - 1, np.uint32), (s >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), 512):
-        out = np.minimum(out, (x[at : at + 512, None] * _A + _B).min(axis=0))
+        out = np.minimum(out, (x[at : at + 512, None] * a + b).min(axis=0))
     return out.astype(">u4").tobytes()
 
 
-def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
+SKETCH = "doc_id long, text_hash long, n long, d1 long, d2 long, sig binary"
+
+
+def sketch_batches(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
+    words, seeds = WordHashes(), forest.seeds
     for batch in batches:
         rows = []
         for text in texts(batch):
-            s = shingles(text, cache)
+            s = shingles(text, words)
             d = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
-            rows.append((len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, minima(s) if len(s) else None))
+            rows.append((len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, minima(s, seeds) if len(s) else None))
         n, d1, d2, sig = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "d1", "d2", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], [x.split()[0] for x in SKETCH.split(", ")])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
+    """(rep, text) to (rep, s), in batches of a few MB."""
+    words = WordHashes()
+
+    def give(reps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, sets)])
+        return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "s"])
+
     for batch in batches:
-        for k, text in enumerate(texts(batch)):
-            s = shingles(text, cache)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["doc_id", "s"])
+        reps, sets, size = [], [], 0
+        for rep, text in zip(batch.column("rep").to_pylist(), texts(batch), strict=True):
+            reps.append(rep)
+            sets.append(shingles(text, words))
+            size += len(sets[-1])
+            if size > 1 << 20:
+                yield give(reps, sets)
+                reps, sets, size = [], [], 0
+        if reps:
+            yield give(reps, sets)
 
 
 NEIGHBOURS = "pid int, edge int, tree int, prefix binary, a long, b long, na long, nb long"
@@ -101,33 +158,40 @@ def neighbour_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield give([(pid, 2, last[0], last[1], last[2], last[2], last[3], last[3])])
 
 
-def neighbours(reps: DataFrame, partitions: int) -> DataFrame:
-    """Pairs (tree, prefix, a, b, na, nb) that are neighbours in some tree's order."""
+def neighbours(reps: DataFrame, forest: Forest, partitions: int) -> DataFrame:
+    """Pairs (tree, prefix, a, b, na, nb) that are neighbours in some tree's order (stored)."""
     label = F.expr(f"substring(concat(sig, sig), tree * {DEPTH * BYTES} + 1, {2 * DEPTH * BYTES})")
-    rows = reps.select("rep", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", label.alias("label"), "rep", "n")
+    rows = reps.select("rep", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")).select("tree", label.alias("label"), "rep", "n")
     found = stored(rows.repartitionByRange(partitions, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep").mapInArrow(neighbour_batches, NEIGHBOURS))
     # two rows for each partition: its end meets the next one's start
     ends = found.where("edge > 0")
     w = Window.orderBy("pid", "edge")
     met = ends.select("tree", "prefix", "a", "na", "edge", *[F.lead(c).over(w).alias(f"{c}_next") for c in ("tree", "prefix", "a", "na", "edge")])
     met = met.where("edge = 2 AND edge_next = 1 AND tree = tree_next AND prefix = prefix_next")
-    return found.where("edge = 0").select("tree", "prefix", "a", "b", "na", "nb").unionByName(met.select("tree", "prefix", "a", F.col("a_next").alias("b"), "na", F.col("na_next").alias("nb")))
+    pairs = stored(found.where("edge = 0").select("tree", "prefix", "a", "b", "na", "nb").unionByName(met.select("tree", "prefix", "a", F.col("a_next").alias("b"), "na", F.col("na_next").alias("nb"))))
+    discard(found)
+    return pairs
 
 
-def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, s): the full shingle sets of those ids (stored)."""
-    text = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    some = text.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi")
-    return stored(some.mapInArrow(set_batches, "doc_id long, s array<bigint>").dropDuplicates(["doc_id"]))
+def sets_of(reps: DataFrame, where: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, s): the full shingle sets of those classes (stored); `where` has doc_id and text_hash of one text of each."""
+    some = stored(where.join(reps, "rep", "left_semi").select("rep", F.col("doc_id").alias("id"), F.col("text_hash").alias("th")))
+    own = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th"))
+    text = docs.join(F.broadcast(some) if at_most(some, BROADCAST_IDS) else some, own).select("rep", "text")
+    found = stored(text.mapInArrow(set_batches, "rep long, s array<bigint>").dropDuplicates(["rep"]))
+    discard(some)
+    return found
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b), a < b, whose full sets are similar enough."""
-    sets = sets_of(stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), docs)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+def confirmed(pairs: DataFrame, where: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b), a < b, whose full sets are similar enough (stored)."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), where, docs)
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     linked = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-    return linked.where(f"100 * i >= {percent} * (t - i)").select("a", "b")
+    links = stored(linked.where(f"100 * i >= {percent} * (t - i)").select("a", "b"))
+    discard(sets)
+    return links
 
 
 def ordered(pairs: DataFrame, percent: int) -> DataFrame:
@@ -135,87 +199,156 @@ def ordered(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def compare_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+def compare_block(rows: pd.DataFrame, percent: int, agree: int) -> pd.DataFrame:
     """Links between components, left block against right block, confirmed on full sets.
 
     A link between components that the block has already joined adds nothing, so a block
-    gives fewer links than it has rows.
+    gives fewer links than it has rows, and pairs within what is joined are passed over at once.
     """
     left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    ls, rs = (np.frombuffer(b"".join(x["sig"]), ">u4").reshape(-1, HASHES).astype(np.uint32) for x in (left, right))
+    if not len(left) or not len(right):
+        return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+    ls, rs = (np.frombuffer(b"".join(x["sig"]), ">u4").reshape(len(x), -1).astype(np.uint32) for x in (left, right))
     (lroot, lid, ln, lset), (rroot, rid, rn, rset) = ([x[c].to_numpy() for c in ("root", "x", "n", "s")] for x in (left, right))
-    above: dict[int, int] = {}
-
-    def top(r: int) -> int:
-        while (up := above.get(r, r)) != r:
-            above[r] = r = above.get(up, up)
-        return r
-
+    _, code = np.unique(np.concatenate([lroot, rroot]), return_inverse=True)
+    lgroup, rgroup = code[: len(left)], code[len(left) :]
+    name = np.arange(code.max() + 1)  # what each component is joined to by now
     out = []
     for k in range(len(left)):
         size = 100 * np.minimum(rn, ln[k]) >= percent * np.maximum(rn, ln[k])
-        for j in np.flatnonzero(size & (rroot != lroot[k]) & ((rs == ls[k]).sum(axis=1) >= AGREE)):
-            a, b = top(int(lroot[k])), top(int(rroot[j]))
-            if a == b:
-                continue
+        todo = np.flatnonzero(size & ((rs == ls[k]).sum(axis=1) >= agree))
+        while len(todo := todo[name[rgroup[todo]] != name[lgroup[k]]]):
+            j, todo = todo[0], todo[1:]
             shared = len(np.intersect1d(lset[k], rset[j], assume_unique=True))
             if 100 * shared >= percent * (ln[k] + rn[j] - shared):
-                above[max(a, b)] = min(a, b)
+                name[name == name[rgroup[j]]] = name[lgroup[k]]
                 out.append((int(lid[k]), int(rid[j])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def crowded(near: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Further links in regions that still hold several components: all outside the largest against all."""
-    region = ["tree", "prefix"]
-    wide = near.groupBy(*region).agg(F.count("*").alias("c")).where("c > 1").select(*region)
-    members = near.join(wide, region).select(*region, F.explode(F.array("a", "b")).alias("x")).distinct()
-    members = members.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    split = members.groupBy(*region).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*region)
-    members = stored(members.join(split, region))
-    sizes = members.groupBy(*region, "root").agg(F.count("*").alias("c")).groupBy(*region).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"))
-    sizes = sizes.select(*region, F.col("top.root").alias("largest"), F.ceil((F.col("all") - F.col("top.c")) / CROWD).cast("int").alias("nl"), F.ceil(F.col("all") / CROWD).cast("int").alias("nr"))
-    sets = sets_of(stored(members.select(F.col("x").alias("doc_id")).distinct()), docs).withColumnRenamed("doc_id", "x")
-    rows = members.join(sizes, region).join(reps.select(F.col("rep").alias("x"), "n", "sig"), "x").join(sets, "x")
+REGION = ["tree", "prefix"]
+
+
+def salted(rows: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFrame:
+    """rows joined with few, where one key of few can have very many rows: dealt over SALTS tasks."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
+def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members (tree, prefix, x) with root, largest (component), all and outside, of groups with several components (stored)."""
+    known = members.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    sizes = known.groupBy(*REGION, "root").agg(F.count("*").alias("c")).groupBy(*REGION).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"))
+    sizes = sizes.where("top.c < all").select(*REGION, F.col("top.root").alias("largest"), "all", (F.col("all") - F.col("top.c")).alias("outside"))
+    return stored(salted(known, sizes, REGION, "x"))
+
+
+def deeper_batches(batches: Iterator[pa.RecordBatch], forest: Forest, depth: int) -> Iterator[pa.RecordBatch]:
+    """(x, sig) to (tree, prefix, x) for each order of that depth; the prefix is a 64-bit hash of the order's minima."""
+    places, base = forest.places(depth), np.uint64(0x9E3779B97F4A7C15)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column("x")
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(len(x), -1).astype(np.uint64)
+        ends = pa.py_buffer((8 * np.arange(len(x) + 1)).astype(np.int32))
+        for tree, at in enumerate(places):
+            key = np.zeros(len(x), np.uint64)
+            for k in at:
+                key = mix(key * base + sig[:, k] + np.uint64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(key)]), x], [*REGION, "x"])
+
+
+def compared(members: DataFrame, reps: DataFrame, where: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """Links of groups' members outside the largest component with all members, in blocks of CROWD against CROWD (stored)."""
+    sets = sets_of(members.select(F.col("x").alias("rep")).distinct(), where, docs)
+    rows = members.withColumn("nl", F.ceil(F.col("outside") / CROWD).cast("int")).withColumn("nr", F.ceil(F.col("all") / CROWD).cast("int"))
+    rows = rows.join(reps.select(F.col("rep").alias("x"), "n", "sig"), "x").join(sets.withColumnRenamed("rep", "x"), "x")
     block = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("root <> largest").select(*region, block("nl").alias("l"), each("nr").alias("r"), F.lit(0).alias("side"), "x", "root", "n", "sig", "s")
-    right = rows.select(*region, each("nl").alias("l"), block("nr").alias("r"), F.lit(1).alias("side"), "x", "root", "n", "sig", "s")
-    return left.unionByName(right).groupBy(*region, "l", "r").applyInPandas(lambda block: compare_block(block, percent), "a long, b long")
+    left = rows.where("root <> largest").select(*REGION, block("nl").alias("l"), each("nr").alias("r"), F.lit(0).alias("side"), "x", "root", "n", "sig", "s")
+    right = rows.select(*REGION, each("nl").alias("l"), block("nr").alias("r"), F.lit(1).alias("side"), "x", "root", "n", "sig", "s")
+    links = stored(left.unionByName(right).groupBy(*REGION, "l", "r").applyInPandas(lambda rows: compare_block(rows, forest.percent, forest.agree), "a long, b long"))
+    discard(sets)
+    return links
+
+
+def crowded(near: DataFrame, roots: DataFrame, reps: DataFrame, where: DataFrame, docs: DataFrame, forest: Forest) -> list[DataFrame]:
+    """Further links in regions that still hold several components, region by region at the depth that suits it."""
+    wide = near.groupBy(*REGION).agg(F.count("*").alias("c")).where("c > 1").select(*REGION)
+    members = salted(near.select(*REGION, "a", "b"), wide, REGION, "a").select(*REGION, F.explode(F.array("a", "b")).alias("x")).distinct()
+    links = []
+    for depth in (*DEEPER, None):
+        open_ = unsettled(members, roots)
+        crowd = open_.where(F.col("outside") > CROWD)
+        last = depth is None or crowd.isEmpty()
+        links.append(compared(open_ if last else open_.where(F.col("outside") <= CROWD), reps, where, docs, forest))
+        if last:
+            break
+        # what they share at this depth is not enough to tell them apart: all orders of the next depth, over these members only
+        some = reps.select(F.col("rep").alias("x"), "sig").join(crowd.select("x").distinct(), "x")
+        members = some.mapInArrow(lambda b, d=depth: deeper_batches(b, forest, d), "tree int, prefix binary, x long")
+        links_so_far = links[-1]
+        if not links_so_far.isEmpty():
+            roots = joined_roots(roots, links_so_far)
+    return links
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after further links: each known node is a link to its root."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, text_hash for each row of docs (doc_id, text).
 
     Linked are texts with 100 * shared shingles >= percent * all shingles of both; a
-    component is what links reach. Null or wordless texts, and rows without doc_id, are
-    linked with nothing and kept; repeated rows come back as often as given; an empty
-    table gives no rows; further columns are not used. Trees, depth and AGREE are set for
-    a similarity of 0.8 and more, so a smaller `percent` raises.
+    component is what links reach, and its id its smallest doc_id. Rows are told apart by
+    their text as well as by doc_id: other texts under one id, or without any, are linked by
+    what they say. Of each component one document is kept, that of the smallest doc_id (without
+    any comes last; of several texts under it, that of the smallest digest); rows that
+    repeat doc_id and text are one document and kept or not together, as often as given.
+    Null or wordless texts are linked with nothing and kept; an empty table gives no rows;
+    further columns are not used. Trees, depth and AGREE follow from `percent`; below 80
+    they would grow too many, so a smaller one raises.
     """
     if percent < 80:
         raise ValueError(f"percent is {percent}; links below 80 would be missed")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    forest = Forest(percent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     spark = docs.sparkSession
-    sketch = stored(docs.mapInArrow(sketch_batches, "doc_id long, n long, d1 long, d2 long, sig binary"))
-    classes = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
-    classes = stored(classes)
-    reps = classes.select("rep", "n", "sig")
-    near = stored(neighbours(reps, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    sketch = stored(docs.mapInArrow(lambda b: sketch_batches(b, forest), SKETCH))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "d1", "d2", "text_hash")
+    # a class's number is made once, where the table is stored
+    classes = sketch.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(first).alias("first"), F.min_by("sig", first).alias("sig"), F.count("*").alias("rows"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
+    reps, where = classes.select("rep", "n", "sig"), classes.select("rep", "first.doc_id", "first.text_hash")
+    near = neighbours(reps, forest, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     tested = stored(ordered(near, percent))
-    links = stored(confirmed(tested, docs, percent))
+    links = confirmed(tested, where, docs, percent)
+    discard(tested)
     roots = components(links)
-    more = stored(crowded(near, roots, reps, docs, percent))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    group = classes.select("d1", "d2", "n", "rep").join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.col("n").alias("cn"), F.coalesce("root", "rep").alias("component"))
-    out = sketch.select("doc_id", "n", "d1", "d2").join(group.withColumnRenamed("cn", "n"), ["d1", "d2", "n"], "left")
-    component = F.when(F.col("doc_id").isNull() | F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    more = crowded(near, roots, reps, where, docs, forest)
+    discard(near)
+    for found in more:
+        if not found.isEmpty():
+            links = links.unionByName(found)
+    if len(more) > 1 or not more[0].isEmpty():
+        roots = components(links)
+    # a component's first document; d1 and d2 tell other texts under its id apart
+    member = classes.select("rep", "d1", "d2", "n", "rows", "first").join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
+    tops = member.groupBy("root").agg(F.min("first").alias("top"), F.count("*").alias("times"))
+    n_classes = classes.count()
+    member = stored(join_counted(member.select("root", "d1", "d2", "n", "rows"), tops, ["root"], "times", hot_from(n_classes)).select("d1", "d2", F.col("n").alias("cn"), "rows", "top"))
+    out = join_counted(sketch.where("n > 0").select("doc_id", "text_hash", F.col("n").alias("cn"), "d1", "d2"), member, ["d1", "d2", "cn"], "rows", hot_from(sketch.count()))
+    kept = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("d1") == F.col("top.d1")) & (F.col("d2") == F.col("top.d2"))
+    out = out.select("doc_id", F.col("cn").alias("n_shingles"), F.col("top.doc_id").alias("component_id"), kept.alias("kept"), "text_hash")
+    return out.unionByName(sketch.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_hash"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(load(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 SQL = {
