@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import hot_from, load
 
 #: The template.
 OPEN, MID, CLOSE = b"<s>[INST] ", b" [/INST]", b"</s>"
@@ -29,7 +30,7 @@ TURN = re.compile(r"<s>\[INST\] (.*?) \[/INST\](.*?)</s>", re.DOTALL)
 #: Bytes laid out at once; a longer turn is laid out by itself.
 BLOCK = 4 << 20
 
-FORMATTED = "conv_id long, part int, n_turns long, formatted string, loss array<struct<start:int,end:int>>"
+FORMATTED = "conv_id long, part long, n_turns long, formatted string, loss array<struct<start:int,end:int>>"
 
 
 def escape(column: pa.Array) -> pa.Array:
@@ -71,8 +72,8 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np
 
 
 def format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by conversation and turn; a conversation that goes on in the next block gets a further part."""
-    last, part = object(), 0
+    """Rows sorted by conversation and turn; a conversation that goes on in the next block, or task, gets a further part."""
+    last, part, base_part = object(), 0, TaskContext.get().partitionId() << 32
     for batch in batches:
         size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64))
         at = 0
@@ -87,7 +88,7 @@ def format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             first = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
             parts = []
             for i in first:
-                part = part + 1 if ids[i] == last else 0
+                part = part + 1 if ids[i] == last else base_part
                 last = ids[i]
                 parts.append(part)
             bounds = np.array([*first, len(ids)])
@@ -99,7 +100,26 @@ def format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             spans = pa.StructArray.from_arrays([pa.array(points[text_at[learnt]] - zero, pa.int32()), pa.array(points[ends[learnt] - len(CLOSE)] - zero, pa.int32())], ["start", "end"])
             where = np.searchsorted(owner, np.arange(len(first) + 1))
             formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in first], pa.int64()), pa.array(parts, pa.int32()), pa.array(np.diff(bounds), pa.int64()), formatted, pa.ListArray.from_arrays(pa.array(where, pa.int32()), spans)], ["conv_id", "part", "n_turns", "formatted", "loss"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in first], pa.int64()), pa.array(parts, pa.int64()), pa.array(np.diff(bounds), pa.int64()), formatted, pa.ListArray.from_arrays(pa.array(where, pa.int32()), spans)], ["conv_id", "part", "n_turns", "formatted", "loss"])
+
+
+def split_hot(conversations: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of most conversations, and those of conversations with very many turns, if there are any."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    hot = hot_from(rows.count())
+    if hot is None:
+        return rows, None
+    many = rows.groupBy(F.col("conv_id").alias("many")).agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("many")
+    if many.isEmpty():
+        return rows, None
+    is_hot = F.col("conv_id").eqNullSafe(F.col("many"))  # hot_from bounds how many there are
+    return rows.join(F.broadcast(many), is_hot, "left_anti"), rows.join(F.broadcast(many), is_hot, "left_semi")
+
+
+def formatted_rows(rows: DataFrame, hot: bool) -> DataFrame:
+    """Formatted parts, a conversation in one task; or a hot one dealt over tasks by ranges of turns."""
+    dealt = rows.repartitionByRange("conv_id", "turn", "role") if hot else rows.repartition("conv_id")
+    return dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(format_batches, FORMATTED)
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
@@ -108,29 +128,29 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     Rows go by turn, ties by role and text; repeated rows are repeated turns; a null role
     or text is empty; rows with null conv_id are one conversation; an empty table gives no
     rows; further columns are not used. A conversation is cut into parts of a few MB,
-    numbered in order, so that no task has to hold a whole one; only assistant texts lie
-    in loss spans.
+    which ascend by `part` (not always by one), so that no task has to hold a whole one; one
+    of very many turns is dealt over tasks. Only assistant texts lie in loss spans.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(format_batches, FORMATTED)
+    rows, hot = split_hot(conversations)
+    out = formatted_rows(rows, False)
+    return out if hot is None else out.unionByName(formatted_rows(hot, True))
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parses formatted parts (in order) back into turns and masked text; only digests are held."""
+    """Parses formatted parts, by conversation and part, back into turns and masked text; only digests are held."""
     names = [x.split()[0] for x in DIGESTS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def give(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    conv, n, turns, chars, loss, total, done = None, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, []
+    conv, n, turns, chars, loss, total, done = object(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0, []
     for batch in batches:
-        for c, part, text, spans in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "part", "formatted", "loss")), strict=True):
-            if part == 0:
+        for c, text, spans in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "formatted", "loss")), strict=True):
+            if c != conv:
                 if n:
                     done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), total))
                 conv, n, turns, chars, loss, total = c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0
@@ -149,15 +169,26 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give([(conv, n, turns.hexdigest(), chars, loss.hexdigest(), total)])
 
 
-def read_digests(formatted: DataFrame) -> DataFrame:
-    return formatted.mapInArrow(read_batches, DIGESTS)
+def read_digests(formatted: DataFrame, dealt: bool = False) -> DataFrame:
+    """One row for each conversation, read back from its parts.
+
+    A digest goes over a whole conversation, so its parts stream through one task in order.
+    As format_chat gives them they are in order already unless conversations were `dealt`
+    over tasks; then (or if the table was stored) they are brought together first. An empty
+    table gives no rows.
+    """
+    if dealt:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(read_batches, DIGESTS)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
-    return read_digests(format_chat(rows.unionByName(more)))
+    most, hot = split_hot(rows.unionByName(more))
+    out = read_digests(formatted_rows(most, False))
+    return out if hot is None else out.unionByName(read_digests(formatted_rows(hot, True), dealt=True))
 
 
 _ESCAPED = r"""replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"""
