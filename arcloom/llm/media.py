@@ -1,7 +1,7 @@
 """Media columns as interleaved document sequences.
 
 Payloads are stored losslessly as PNG images of 64 RGB pixels a row (8-bit samples),
-named by the digest of the stored form. Pages refer to them by digest; parsing a page
+named by the digest of the stored form, each text once however often it comes. Pages refer to them by digest; parsing a page
 gives its texts and media references in order, and a join on the digest resolves each
 reference at its position, with its caption.
 """
@@ -9,7 +9,6 @@ reference at its position, with its caption.
 from __future__ import annotations
 
 import hashlib
-import html
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, sha, stored, texts
+from .common import at_most, hot_from, join_counted, load, sha, stored, texts
 
 WIDTH, ROW = 64, 192
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEME = "media:"
+#: Digests of repeated texts up to this number are broadcast.
+BROADCAST_KEYS = 1_000_000
 MEDIA_TAGS = ("img", "audio", "video", "source", "embed")
 
 ITEM = "struct<pos:int,kind:string,text:string,ref:string,caption:string>"
@@ -73,37 +74,62 @@ def feature(rows: np.ndarray) -> str:
     return f"{WIDTH}x{len(rows)};sum={','.join(map(str, sums))};hist={','.join(map(str, bins))}"
 
 
+STORED = "same string, n long, n_bytes long, digest string, media binary"
+
+
 def store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(same, n, text) to the stored form of the padded text."""
+    names, kinds = [x.split()[0] for x in STORED.split(", ")], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+
+    def give(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
         rows: list[tuple] = []
         size = 0
-        for i, data in zip(ids, texts(batch), strict=True):
+        for same, n, data in zip(batch.column("same").to_pylist(), batch.column("n").to_pylist(), texts(batch), strict=True):
             media = to_png(data.ljust(max(ROW, -(-len(data) // ROW) * ROW), b" "))
-            digest = sha(media)
-            caption = f"text of document {i}"
-            page = f'<article><h1>{html.escape(f"Document {i}")}</h1><figure><img src="{SCHEME}{digest}"><figcaption>{html.escape(caption)}</figcaption></figure></article>'
-            rows.append((i, len(data), page, digest, media))
+            rows.append((same, n, len(data), sha(media), media))
             size += len(media)
             if size > 16 << 20:
-                yield stored_rows(rows)
+                yield give(rows)
                 rows, size = [], 0
         if rows:
-            yield stored_rows(rows)
+            yield give(rows)
 
 
-def stored_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "html", "digest", "media"])
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and `same`, the digest of the text (null: empty)."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("same"))
 
 
 def store_payloads(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html (a page that refers to the payload), digest, media.
+    """same (digest of the text), n (rows with it), n_bytes, digest, media: each text's payload once.
 
-    A null text is empty; an empty one is a row of spaces. Repeated rows are stored as
-    often as they come; only doc_id and text are used.
+    A null text is empty; an empty one is a row of spaces. Of rows with equal texts the one of
+    the smallest doc_id is stored (rows without any come last; rows that repeat doc_id and
+    text are stored as often as they come); an empty table gives no rows; only doc_id and text are used.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(store_batches, "doc_id long, n_bytes long, html string, digest string, media binary")
+    rows = keyed(docs)
+    # only texts that repeat are listed; a hot one is a single row here
+    repeated = stored(rows.groupBy("same").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"))
+    if at_most(repeated, BROADCAST_KEYS):
+        marked = rows.join(F.broadcast(repeated), "same", "left")
+    else:
+        marked = join_counted(rows, repeated.withColumn("times", F.col("n")), ["same"], "times", hot_from(rows.count()), "left")
+    once = marked.where("n IS NULL OR doc_id <=> first").select("same", F.coalesce("n", F.lit(1)).alias("n"), "text")
+    return once.mapInArrow(store_batches, STORED)
+
+
+def pages_of(docs: DataFrame, media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, html: for each document a page that shows its payload, by digest, with a caption."""
+    rows = keyed(docs).select("doc_id", "same")
+    known = media.select("same", "n", "n_bytes", "digest").dropDuplicates(["same"])
+    found = join_counted(rows, known, ["same"], "n", hot_from(rows.count()))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without id"))
+    page = F.concat(F.lit("<article><h1>Document "), name, F.lit(f'</h1><figure><img src="{SCHEME}'), "digest", F.lit('"><figcaption>text of '), "n_bytes", F.lit(" bytes</figcaption></figure></article>"))
+    return found.select("doc_id", "n_bytes", page.alias("html"))
 
 
 READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -123,65 +149,114 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests and features from stored bytes (digest, media), one row for each digest; payloads are not shuffled."""
+    """Digests and features from stored bytes (digest, media), one row for each digest; payloads are not shuffled.
+
+    Bytes that are no such image raise, as a lossless store must not pass over them; an empty table gives no rows.
+    """
     return media.select("digest", "media").mapInArrow(read_batches, READ).dropDuplicates(["digest"])
 
 
 class Sequence(HTMLParser):
-    """Texts and media references in page order. A figcaption is the caption of its figure's media."""
+    """Texts and media references in page order.
 
-    SKIPPED = ("script", "style", "head")
+    A figcaption is the caption of its figure's media; without media it is a text. It ends
+    with its end tag or its figure's; one that the page never ends is a text too, as nothing
+    tells what belongs to it. Scripts, styles and titles are no texts; markup that is broken
+    is read as far as it goes, never an error.
+    """
+
+    QUIET = ("script", "style", "title")
+    BLOCKS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "br", "hr", "table", "tr", "td", "th", "blockquote", "pre", "article", "section", "header", "footer", "main", "nav", "body")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.skip, self.caption, self.figure = 0, None, []
+        self.quiet: str | None = None
+        self.caption: list[str] | None = None
+        self.figure: list[dict] | None = None
+        self.said = ""
 
-    def flush(self) -> None:
-        words = " ".join("".join(self.text).split())
-        self.text = []
-        if words:
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
+    def give_text(self, parts: list[str]) -> None:
+        if words := " ".join("".join(parts).split()):
             self.items.append({"kind": "text", "text": words, "ref": None, "caption": None})
 
+    def flush(self) -> None:
+        if self.caption is None:
+            self.give_text(self.text)
+            self.text = []
+        else:
+            self.caption.append(" ")
+
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            said = " ".join("".join(self.caption).split())
+            self.caption = None
+            self.said = f"{self.said} {said}".strip()
+            if self.figure is None:
+                self.end_figure()
+
+    def end_figure(self) -> None:
+        for item in self.figure or []:
+            item["caption"] = self.said or item["caption"]
+        if not self.figure:
+            self.give_text([self.said])
+        self.figure, self.said = None, ""
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.SKIPPED:
-            self.skip += 1
-        elif tag == "figure":
+        if tag in self.QUIET:
+            self.quiet = tag
+            return
+        if self.quiet == "title" and tag in ("body", *self.BLOCKS):
+            self.quiet = None
+        if tag in ("figure", "figcaption"):
+            self.end_caption()
             self.flush()
-            self.figure = []
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = []
+            if tag == "figcaption":
+                self.caption = []
+            else:
+                self.end_figure()
+                self.figure = []
         elif tag in MEDIA_TAGS and (ref := dict(attrs).get("src")):
             self.flush()
             item = {"kind": "media", "text": None, "ref": ref, "caption": dict(attrs).get("alt") or None}
             self.items.append(item)
-            self.figure.append(item)
-        elif tag in ("p", "div", "h1", "h2", "h3", "h4", "li", "br", "tr", "article", "section"):
+            if self.figure is not None:
+                self.figure.append(item)
+        elif tag in self.BLOCKS:
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for item in self.figure:
-                item["caption"] = said or item["caption"]
-            self.caption = None
-        elif tag in ("p", "div", "h1", "h2", "h3", "h4", "li", "figure", "article", "section"):
+        if tag == self.quiet or (tag == "head" and self.quiet == "title"):
+            self.quiet = None
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure":
+            self.end_caption()
+            self.flush()
+            self.end_figure()
+        elif tag in self.BLOCKS:
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.quiet:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def close(self) -> None:
+        super().close()
+        if self.caption is not None:
+            self.text, self.caption = self.caption, None
+        self.flush()
+        self.end_figure()
+
 
 def sequence_of(page: str | None) -> list[dict]:
     parser = Sequence()
     parser.feed(page or "")
     parser.close()
-    parser.flush()
     return [{"pos": k, **item} for k, item in enumerate(parser.items)]
 
 
@@ -194,7 +269,12 @@ def sequence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def interleave(pages: DataFrame) -> DataFrame:
-    """Replaces the column html by `items`: the page's texts and media references in order."""
+    """Replaces the column html by `items`: the page's texts and media references in order.
+
+    A null or empty page has no items; any text is a page, however malformed; other columns
+    stay (one named items is replaced); repeated rows give equal items; an empty table stays empty.
+    """
+    pages = pages.drop("items")
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html"]
     return pages.mapInArrow(sequence_batches, ", ".join([*kept, f"items array<{ITEM}>"]))
 
@@ -203,14 +283,25 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     """One row for each item of each sequence, with the media table's columns where its digest is known.
 
     Items keep pos, text, ref and caption; texts and unknown references have null media
-    columns. The media table has one row for each digest.
+    columns. The media table has one row for each digest, and only its rows are sent for
+    digests that very many items share. A sequence without items gives no rows; columns of
+    sequences named like an item's or the media table's are replaced by these. Sequences
+    are read twice, so they are best stored.
     """
-    rows = sequences.select(*[c for c in sequences.columns if c != "items"], F.inline("items"))
-    digest = F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 64))
-    return rows.withColumn("digest", digest).join(media, "digest", "left")
+    taken = {"pos", "kind", "text", "ref", "caption", "items", *media.columns}
+    rows = sequences.select(*[f"`{c}`" for c in sequences.columns if c not in taken], F.inline("items"))
+    rows = rows.withColumn("digest", F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 64)))
+    named = rows.where("digest IS NOT NULL")
+    times = stored(named.groupBy("digest").agg(F.count("*").alias("_times")))
+    total = times.agg(F.sum("_times")).first()[0] or 0
+    found = join_counted(named, times.join(media, "digest", "left"), ["digest"], "_times", hot_from(total), "left")
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in media.schema if f.name != "digest"]
+    return found.unionByName(rows.where("digest IS NULL").select("*", *others))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = stored(store_payloads(load(spark, sf_dir, "documents")))
-    found = resolve(interleave(table.select("doc_id", "n_bytes", "html")), read_media(table))
-    return found.where("kind = 'media'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    media = stored(store_payloads(docs))
+    sequences = stored(interleave(pages_of(docs, media)))
+    found = resolve(sequences, stored(read_media(media)))
+    return found.where("kind = 'media'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
