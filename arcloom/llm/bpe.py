@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, sha, texts
+from .common import discard, load, sha, stored, texts
 
 #: Fixed value: the pattern by which a text is cut into pieces before the merges.
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -33,6 +33,8 @@ LEXICON, LEAST = 32_768, 8
 #: Longest word in the lexicon and longest piece merged in numpy, in bytes; bytes of text handled at once.
 LONGEST, WIDE, BLOCK = 32, 64, 2 << 20
 NONE = np.int32(2**31 - 1)
+#: Folders of the driver with lexicon files; they go when the process ends.
+SERVED: list[tempfile.TemporaryDirectory] = []
 
 
 def byte_letters() -> dict[str, int]:
@@ -265,7 +267,9 @@ def compile_lexicon(spark: SparkSession, vocabulary_path: str, words: list[str])
         "token_bytes": np.frombuffer(b"".join(tokens), np.uint8),
         "keys": merger.keys, "ranks": merger.ranks, "results": merger.results, "first": merger.first,
     }
-    path = os.path.join(tempfile.mkdtemp(prefix="arcloom-"), f"lexicon-{uuid.uuid4().hex}.bin")
+    folder = tempfile.TemporaryDirectory(prefix="arcloom-")  # the driver serves the file from there until it ends
+    SERVED.append(folder)
+    path = os.path.join(folder.name, f"lexicon-{uuid.uuid4().hex}.bin")
     save(path, arrays, vocabulary["special"])
     spark.sparkContext.addFile(path)
     return os.path.basename(path)
@@ -408,10 +412,23 @@ def decode_batches(batches: Iterator[pa.RecordBatch], lexicon: str) -> Iterator[
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON, least: int = LEAST) -> list[str]:
-    """The runs of letters that are most frequent in all texts: at most `most`, a fixed bound."""
+    """The runs of letters that are most frequent in all texts, at most `most`.
+
+    A histogram of the counts (16 bins an octave, so a few hundred rows at any size) gives
+    the bin from which on `most` words are enough, so that neither tasks nor the driver see
+    more words than that; words of the bin that would pass `most` are left out.
+    """
     words = docs.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).where(f"word <> '' AND octet_length(word) < {LONGEST}")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).where(f"n >= {least}").orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.select("word").collect()]
+    counts = stored(words.groupBy("word").agg(F.count("*").alias("n")).where(f"n >= {least}").withColumn("bin", F.floor(F.log2("n") * 16)))
+    start, total = None, 0
+    for r in counts.groupBy("bin").agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect():
+        total += r.words
+        if total > most:
+            break
+        start = r.bin
+    found = [] if start is None else [r.word for r in counts.where(F.col("bin") >= start).select("word").collect()]
+    discard(counts)
+    return found
 
 
 def encode_texts(docs: DataFrame, lexicon: str) -> DataFrame:
@@ -419,7 +436,8 @@ def encode_texts(docs: DataFrame, lexicon: str) -> DataFrame:
 
     A null or empty text has no ids; a special token's string in a text is that token;
     other columns stay (one named ids is replaced); repeated rows are encoded alike; an
-    empty table stays empty.
+    empty table stays empty. A text of any length is encoded whole, by itself if it is longer
+    than BLOCK; of equal ranks the leftmost pair is merged first.
     """
     kept = docs.drop("ids")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"]
@@ -427,7 +445,7 @@ def encode_texts(docs: DataFrame, lexicon: str) -> DataFrame:
 
 
 def decode_ids(encoded: DataFrame, lexicon: str) -> DataFrame:
-    """Adds `text`, special tokens included."""
+    """Adds `text`, special tokens included; null ids give an empty text, an empty table stays empty."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema]
     return encoded.mapInArrow(lambda b: decode_batches(b, lexicon), ", ".join([*fields, "text string"]))
 
