@@ -1,7 +1,7 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, shingle containment verifies them.
 
-For a template of t shingles a text is cut into windows of about 1.5 t, each a quarter of t
-after the last, so some window holds any run of t shingles. If such a run contains 80 % of
+For a template of t shingles a text is cut into windows of at most 1.5 t, each at most a quarter
+of t after the last, so some window holds any run of t shingles. If such a run contains 80 % of
 the template, window and template have a similarity of 0.45 or more; with bands of one
 minimum, 32 of them miss such a window with probability below 1e-8.
 """
@@ -23,8 +23,23 @@ SHINGLE, BANDS, LEAST = 5, 32, 0.8
 BLOCK = 1 << 20
 WORD = re.compile(rb"[a-z0-9]+")
 
-#: Public license notices and grants, by identifier.
+#: Shingles whose minima are held at once; a longer text goes through in parts that overlap by the widest window.
+PART = 1 << 16
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+
+#: Public license texts, notices and grants, by identifier.
 TEMPLATES = {
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. """
+    + _AS_IS
+    + """ IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": f"{_BSD} {_BSD_END}",
+    "BSD-3-Clause": f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -45,6 +60,11 @@ def hashes(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(32)).astype(np.uint32)[:, None] * _A + _B
 
 
+def shifted_minimum(m: np.ndarray, by: int) -> np.ndarray:
+    """Of each row the minimum with the row `by` further on; at the end, rows stay as they are."""
+    return np.concatenate([np.minimum(m[:-by], m[by:]), m[-by:]]) if by else m
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.cache = WordHashes()
@@ -112,6 +132,32 @@ class Scanner:
                     counts, top = {}, None
         return sorted(out, key=lambda x: x[1])
 
+    def retrieved(self, s: np.ndarray, bounds: np.ndarray) -> dict[int, set[int]]:
+        """For each template the texts (s[bounds[d]:bounds[d + 1]]) that have a window which agrees with it in some band."""
+        found: dict[int, set[int]] = {}
+        widest = 2 * max(self.groups, default=0) + 16
+        for at in range(0, len(s), PART):
+            h = hashes(s[at : at + PART + widest])
+            blocks, sliding = {1: h}, {}  # minima of blocks of q shingles; of 2**n neighbouring blocks
+            for t, (who, low) in self.groups.items():
+                q = 1 << (max(1, t // 4).bit_length() - 1)
+                while q not in blocks:
+                    top = max(blocks)
+                    blocks[2 * top] = np.minimum.reduceat(blocks[top], np.arange(0, len(blocks[top]), 2), axis=0)
+                wide = 1 if t == 1 else -(-t // q) + 1
+                n = min(wide, len(blocks[q])).bit_length() - 1
+                for j in range(n + 1):
+                    if (q, j) not in sliding:
+                        sliding[q, j] = shifted_minimum(sliding[q, j - 1], 1 << (j - 1)) if j else blocks[q]
+                m = shifted_minimum(sliding[q, n], min(wide, len(blocks[q])) - (1 << n))
+                for k, row in zip(who, low, strict=True):
+                    windows = np.flatnonzero((m == row).any(axis=1))
+                    # a window may begin in a text before the one that holds the match
+                    first, last = windows * q + at, np.minimum(windows * q + wide * q, len(h)) - 1 + at
+                    for a, b in set(zip(*((np.searchsorted(bounds, x, side="right") - 1).tolist() for x in (first, last)), strict=True)):
+                        found.setdefault(int(k), set()).update(range(a, b + 1))
+        return found
+
     def scan(self, docs: list[bytes]) -> list[list[dict]]:
         """Matches of each text: template, start, end (words), containment."""
         each = [self.shingles(d) for d in docs]
@@ -119,28 +165,10 @@ class Scanner:
         out: list[list[dict]] = [[] for _ in docs]
         if not bounds[-1]:
             return out
-        h = hashes(np.concatenate(each))
-        for t, (who, low) in self.groups.items():
-            q = max(1, t // 4)
-            blocks = -(-len(h) // q)
-            padded = np.full((blocks * q, BANDS), 2**32 - 1, np.uint32)
-            padded[: len(h)] = h
-            least = padded.reshape(blocks, q, BANDS).min(axis=1) if q > 1 else padded
-            wide = 1 if t == 1 else -(-t // q) + 1
-            m, have = least, 1
-            while have < wide and len(m) > 1:  # minima of `wide` blocks; the last windows are shorter
-                step = min(have, wide - have)
-                m = np.minimum(m, np.concatenate([m[step:], m[-step:]]))
-                have += step
-            for k, row in zip(who, low, strict=True):
-                windows = np.flatnonzero((m == row).any(axis=1))
-                # a window may begin in a text before the one that holds the match
-                owners = set()
-                for a, b in zip(np.searchsorted(bounds, windows * q, side="right") - 1, np.searchsorted(bounds, np.minimum(windows * q + wide * q, len(h)) - 1, side="right") - 1, strict=True):
-                    owners.update(range(int(a), int(b) + 1))
-                for d in owners:
-                    for found in self.runs(each[d], k):
-                        out[d].append({"template": self.names[k], "start": found[1], "end": found[2] + SHINGLE - 1, "containment": found[0] / t})
+        for k, owners in self.retrieved(np.concatenate(each), bounds).items():
+            for d in owners:
+                for n, start, end in self.runs(each[d], k):
+                    out[d].append({"template": self.names[k], "start": start, "end": end + SHINGLE - 1, "containment": n / len(self.sets[k])})
         return [sorted(x, key=lambda y: (y["start"], y["template"])) for x in out]
 
 
