@@ -4,7 +4,8 @@ Pattern matches are the base. Beyond them, base64 and hex runs are decoded and
 reported only if their bytes parse: DER keys, whose nested lengths must fit exactly,
 OpenSSH key containers, PEM private keys, and signed tokens whose header is JSON that
 names an algorithm. DER and OpenSSH data tell their own length, so they are tried at
-every place where one can start, whatever stands before or behind, and over wrapped lines.
+every place where one can start, whatever stands before or behind, and over wrapped lines;
+a PEM private key that was encoded in base64 once more is decoded twice.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ OPENSSH = b"openssh-key-v1\0"
 SPACE = b"\t\n\v\f\r \"'"
 BREAK = re.compile(rb"[\t-\r \"']+|\\+(?:[nrt]|(?=/))")
 PEM_BREAK = re.compile(r"\s+|\\+(?:[nrt]|(?=/))")
-#: Places where a DER sequence or the magic of OpenSSH can start, and what its run goes on with.
-BASE64_START, BASE64_RUN = re.compile(rb"M(?:[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA"), re.compile(rb"[A-Za-z0-9+/_-]*")
+#: Places where a DER sequence, the magic of OpenSSH or an encoded PEM can start, and what its run goes on with.
+BASE64_START, BASE64_RUN = re.compile(rb"M(?:[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi"), re.compile(rb"[A-Za-z0-9+/_-]*")
 HEX_START, HEX_RUN = re.compile(rb"30(?:[0-7]|8[1-4])"), re.compile(rb"[0-9a-fA-F]*")
 #: Least characters of a key in base64 (with padding) and hex; least characters of a wrapped key's pieces but the last.
 LEAST_BASE64, LEAST_HEX, LEAST_PIECE = 40, 64, 16
@@ -130,8 +131,18 @@ def der_size(head: bytes) -> int | None:
     return at + n if fits else None
 
 
+def is_pem(m: re.Match) -> bool:
+    data = decoded(PEM_BREAK.sub("", m[2]).encode())
+    return bool(data) and (is_der_key(data) or is_openssh(data))
+
+
 def base64_key(run: bytes) -> tuple[str, int] | None:
     """(kind, characters) of the key at the start of run, which has no padding."""
+    if run.startswith(b"L"):
+        text = (decoded(run[: len(run) - (len(run) % 4 == 1)]) or b"").decode("latin-1")
+        m = PEM.match(text)
+        end = m.end() + (text[m.end() : m.end() + 1] == "\n") if m and is_pem(m) else 0
+        return ("pem", -(-4 * end // 3)) if end else None
     if run.startswith(b"b"):
         n = openssh_size(decoded(run[: len(run) - (len(run) % 4 == 1)]) or b"")
         return ("openssh", -(-4 * n // 3)) if n else None
@@ -220,9 +231,15 @@ def scan_batch(docs: list[bytes]) -> list[list[tuple[int, int, int]]]:
     def add(kind: str, k: int, start: int, end: int) -> None:
         found.setdefault(k, set()).add((start, KINDS.index(kind), end))
 
+    counted: dict[int, np.ndarray | None] = {}
+
     def points(k: int, a: int, b: int) -> tuple[int, int]:
-        start = len(docs[k][: a - starts[k]].decode("utf-8", "replace"))
-        return start, start + (b - a)
+        """Code points of the bytes a..b (which are ASCII, or wrapped by ASCII) of text k; each text is counted once."""
+        if k not in counted:
+            counted[k] = None if docs[k].isascii() else np.cumsum((np.frombuffer(docs[k], np.uint8) & 0xC0) != 0x80, dtype=np.int64)
+        at, n = a - int(starts[k]), b - a
+        start = at if counted[k] is None or not at else int(counted[k][at - 1])
+        return start, start + n
 
     for k in holds(*WORDS, within=joined.lower()):
         for m in ASSIGN.finditer(docs[k].decode("utf-8", "replace")):
@@ -234,8 +251,7 @@ def scan_batch(docs: list[bytes]) -> list[list[tuple[int, int, int]]]:
                 add("access", k, *m.span())
     for k in holds(b"PRIVATE KEY-----"):
         for m in PEM.finditer(docs[k].decode("utf-8", "replace")):
-            data = decoded(PEM_BREAK.sub("", m[2]).encode())
-            if data and (is_der_key(data) or is_openssh(data)):
+            if is_pem(m):
                 add("pem", k, *m.span())
     for k in holds(b"eyJ"):
         for m in TOKEN.finditer(docs[k].decode("utf-8", "replace")):
