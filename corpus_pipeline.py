@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 the columns of `documents`. What a stage returns is written as Parquet and read again.
 
 Defined cases: a null or empty text is never toxic, near another, contaminated or secret
-and has no ids; rows without doc_id stay; rows that repeat a doc_id stay or go together
-where a stage decides by doc_id; without labels nothing is toxic; an empty table stays
-empty; further columns, whatever their names, stay as they are.
+and has no ids; decisions are by row (doc_id and text), so a text goes for what it says
+whether it has a doc_id, shares one or has none; rows that repeat doc_id and text stay or
+go together, but of equal texts without doc_id one stays; without labels nothing is toxic; an
+empty table stays empty; further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -15,16 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcloom.llm import bpe, decontaminate, near_dedup, secrets, toxicity
-from arcloom.llm.common import at_most, load, stored
+from arcloom.llm.common import at_most, discard, load, stored
 
-#: Ids of dropped documents up to this number are broadcast.
+#: Dropped documents up to this number are broadcast.
 BROADCAST_IDS = 1_000_000
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among `dropped`; rows without doc_id stay."""
-    ids = stored(dropped.select("doc_id").where("doc_id IS NOT NULL").distinct())
-    return docs.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that `dropped` names by doc_id (which can be null) and text_hash."""
+    gone = stored(dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    other = F.broadcast(gone) if at_most(gone, BROADCAST_IDS) else gone
+    return docs.join(other, docs["doc_id"].eqNullSafe(other["_id"]) & (F.xxhash64(docs["text"]) == other["_hash"]), "left_anti")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -44,15 +46,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id stays of each group."""
-    return without(docs, near_dedup.near_duplicates(docs).where("NOT kept"))
+    left = without(docs, near_dedup.near_duplicates(docs).where("NOT kept"))
+    # equal texts without an id are told apart by nothing: the first of them by its other columns stays
+    nameless = left.where("doc_id IS NULL AND text <> ''")
+    if nameless.isEmpty():
+        return left
+    row = F.struct(*[f"`{c}`" for c in left.columns])
+    one = nameless.groupBy(F.xxhash64("text").alias("_h"), F.md5("text").alias("_m")).agg(F.min(row).alias("_row")).select(*[F.col(f"_row.`{c}`") for c in left.columns])
+    return left.where("doc_id IS NOT NULL OR coalesce(text, '') = ''").unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go; others that share their doc_id, or have none, stay."""
-    found = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).where("contaminated AND doc_id IS NOT NULL")
-    gone = stored(found.select("doc_id", "text_hash").distinct())
-    other = F.broadcast(gone) if at_most(gone, BROADCAST_IDS) else gone
-    return docs.join(other, (docs["doc_id"] == other["doc_id"]) & (F.xxhash64(docs["text"]) == other["text_hash"]), "left_anti")
+    """Documents that hold a window of a benchmark item go; others that share their doc_id stay."""
+    return without(docs, decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +69,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and their number."""
+    """doc_id, ids, their number, and whether they decode to the text again."""
     lexicon = bpe.compile_lexicon(spark, bpe.default_vocabulary(), bpe.frequent_words(docs))
-    return bpe.encode_texts(docs.select("doc_id", "text"), lexicon).withColumn("n_tokens", F.size("ids").cast("long"))
+    rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
+    back = bpe.decode_ids(bpe.encode_texts(rows, lexicon), lexicon)
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.md5("text") == F.col("md5")).alias("round_trip"))
 
 
 STAGES = [
@@ -76,14 +84,18 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Training and minima have no SQL form; tests compare each stage with a brute-force version.
+#: Training and minima have no SQL form; tests/llm/test_llm.py compares each stage but the first, whose held-out
+#: accuracy is tested, with a brute-force version or its operator's SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 
