@@ -4,10 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 the columns of `documents`. What a stage returns is written as Parquet and read again.
 
 Defined cases: a null or empty text is never toxic, near another, contaminated or secret
-and has no ids; decisions are by row (doc_id and text), so a text goes for what it says
-whether it has a doc_id, shares one or has none; rows that repeat doc_id and text stay or
-go together, but of equal texts without doc_id one stays; without labels nothing is toxic; an
-empty table stays empty; further columns, whatever their names, stay as they are.
+and has no ids; decisions are by row (doc_id and text), so of texts that share a doc_id
+each goes for what it says; rows that repeat doc_id and text stay or go together; without
+labels nothing is toxic; an empty table stays empty; further columns, whatever their
+names, stay as they are. By itself, the decontamination stage leaves rows without doc_id,
+which it can't name; run() names them first, so there they go like all others.
 """
 
 from __future__ import annotations
@@ -57,8 +58,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go; others that share their doc_id stay."""
-    return without(docs, decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents that hold a window of a benchmark item go; others that share their doc_id, or have none, stay."""
+    return without(docs, decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark")).where("contaminated AND doc_id IS NOT NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,14 +90,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def named(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """docs with ids of their own for rows that have none, and the least of those; None where all rows have one.
+
+    The table is stored, so that such an id stays what it is.
+    """
+    if docs.where("doc_id IS NULL").isEmpty():
+        return docs, None
+    base = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(base).cast("long") + F.monotonically_increasing_id())
+    return stored(docs.withColumn("doc_id", own)), base
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = load(spark, sf_dir, "documents"), None
+    (docs, base), before = named(load(spark, sf_dir, "documents")), None
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
         if before is not None:
             discard(before)
         before = docs
-    return docs
+    return docs if base is None else docs.withColumn("doc_id", F.when(F.col("doc_id") < base, F.col("doc_id")))
 
 
 def queries() -> dict:
