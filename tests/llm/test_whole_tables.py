@@ -26,7 +26,9 @@ def independent_spans(text):
     return sorted(spans)
 
 
-def test_secrets_of_the_query(spark, sf, texts):
+def test_secrets_of_the_query(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = secrets.op9_secrets(spark, sf).collect()
     assert len(rows) == len(texts)
     found = 0
@@ -209,3 +211,19 @@ def test_pipeline_stages_by_brute_force(spark, sf):
     assert {r.doc_id for r in stages["decontaminate"](spark, after, sf).collect()} == clean
     last = stages["bpe"](spark, after, sf)
     assert last.where(~F.col("round_trip")).count() == 0 and last.count() == after.count()
+
+
+def test_run_decides_on_rows_without_id(spark, tmp_path):
+    """Contaminated and near-duplicate rows without doc_id go; of equal texts without one, one stays."""
+    import corpus_pipeline as p
+
+    passage = " ".join(f"passage{k}" for k in range(14))
+    near = [f"near{k}" for k in range(60)]
+    rows = [(1, " ".join(near)), (None, " ".join([*near[:59], "x"])), (None, f"lead {passage} end"), (None, "alone here"), (None, "alone here"), (None, None), (2, f"lead {passage} tail"), (2, "clean")]
+    for name, data, schema in (("documents", rows, "doc_id long, text string"), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [("i1", passage)], "item_id string, text string")):
+        df = spark.createDataFrame(data, schema)
+        if name == "documents":
+            df = df.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted(((r.doc_id, r.n_tokens > 0) for r in p.run(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, True), (None, True), (None, False), (2, True)], key=repr)
