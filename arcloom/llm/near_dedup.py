@@ -31,8 +31,9 @@ SHINGLE, DEPTH, DEEPER = 5, 4, (8, 12, 16)
 #: Probability with which the orders of one depth may miss a pair of the least similarity, and AGREE may.
 MISS, UNLIKE = 1e-6, 1e-8
 BYTES = 4
-#: Members outside the largest component up to which a region is compared at its depth. Ids up to BROADCAST_IDS are broadcast.
-CROWD, BROADCAST_IDS = 500, 1_000_000
+#: Rows on each side of a block. Members outside the largest component up to which a region is compared at its depth:
+#: a set is copied to at most 2 * CROWD / BLOCK blocks. Ids up to BROADCAST_IDS are broadcast.
+BLOCK, CROWD, BROADCAST_IDS = 500, 5_000, 1_000_000
 #: Tasks over which the rows of a region are dealt.
 SALTS = 16
 
@@ -236,34 +237,37 @@ def salted(rows: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFrame
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
-def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members (tree, prefix, x) with root, largest (component), all and outside, of groups with several components (stored)."""
-    known = members.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+def unsettled(known: DataFrame) -> DataFrame:
+    """known (tree, prefix, x, root) with largest (component), all and outside, of groups with several components (stored)."""
     sizes = known.groupBy(*REGION, "root").agg(F.count("*").alias("c")).groupBy(*REGION).agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"))
     sizes = sizes.where("top.c < all").select(*REGION, F.col("top.root").alias("largest"), "all", (F.col("all") - F.col("top.c")).alias("outside"))
     return stored(salted(known, sizes, REGION, "x"))
 
 
+def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+
+
 def deeper_batches(batches: Iterator[pa.RecordBatch], forest: Forest, depth: int) -> Iterator[pa.RecordBatch]:
-    """(x, sig) to (tree, prefix, x) for each order of that depth; the prefix is a 64-bit hash of the order's minima."""
+    """(x, root, sig) to (tree, prefix, x, root) for each order of that depth; the prefix is a 64-bit hash of the order's minima."""
     places, base = forest.places(depth), np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = batch.column("x")
+        x, root = batch.column("x"), batch.column("root")
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u4").reshape(len(x), -1).astype(np.uint64)
         ends = pa.py_buffer((8 * np.arange(len(x) + 1)).astype(np.int32))
         for tree, at in enumerate(places):
             key = np.zeros(len(x), np.uint64)
             for k in at:
                 key = mix(key * base + sig[:, k] + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(key)]), x], [*REGION, "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.Array.from_buffers(pa.binary(), len(x), [None, ends, pa.py_buffer(key)]), x, root], [*REGION, "x", "root"])
 
 
 def compared(members: DataFrame, reps: DataFrame, where: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
-    """Links of groups' members outside the largest component with all members, in blocks of CROWD against CROWD (stored)."""
+    """Links of groups' members outside the largest component with all members, in blocks of BLOCK against BLOCK (stored)."""
     sets = sets_of(members.select(F.col("x").alias("rep")).distinct(), where, docs)
-    rows = members.withColumn("nl", F.ceil(F.col("outside") / CROWD).cast("int")).withColumn("nr", F.ceil(F.col("all") / CROWD).cast("int"))
+    rows = members.withColumn("nl", F.ceil(F.col("outside") / BLOCK).cast("int")).withColumn("nr", F.ceil(F.col("all") / BLOCK).cast("int"))
     rows = rows.join(reps.select(F.col("rep").alias("x"), "n", "sig"), "x").join(sets.withColumnRenamed("rep", "x"), "x")
     block = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -278,20 +282,19 @@ def crowded(near: DataFrame, roots: DataFrame, reps: DataFrame, where: DataFrame
     """Further links in regions that still hold several components, region by region at the depth that suits it."""
     wide = near.groupBy(*REGION).agg(F.count("*").alias("c")).where("c > 1").select(*REGION)
     members = salted(near.select(*REGION, "a", "b"), wide, REGION, "a").select(*REGION, F.explode(F.array("a", "b")).alias("x")).distinct()
-    links = []
+    known, links = with_roots(members, roots), []
     for depth in (*DEEPER, None):
-        open_ = unsettled(members, roots)
+        open_ = unsettled(known)
         crowd = open_.where(F.col("outside") > CROWD)
         last = depth is None or crowd.isEmpty()
         links.append(compared(open_ if last else open_.where(F.col("outside") <= CROWD), reps, where, docs, forest))
         if last:
             break
         # what they share at this depth is not enough to tell them apart: all orders of the next depth, over these members only
-        some = reps.select(F.col("rep").alias("x"), "sig").join(crowd.select("x").distinct(), "x")
-        members = some.mapInArrow(lambda b, d=depth: deeper_batches(b, forest, d), "tree int, prefix binary, x long")
-        links_so_far = links[-1]
-        if not links_so_far.isEmpty():
-            roots = joined_roots(roots, links_so_far)
+        if not links[-1].isEmpty():
+            roots = joined_roots(roots, links[-1])
+        some = with_roots(crowd.select("x").distinct(), roots).join(reps.select(F.col("rep").alias("x"), "sig"), "x")
+        known = some.mapInArrow(lambda b, d=depth: deeper_batches(b, forest, d), "tree int, prefix binary, x long, root long")
     return links
 
 

@@ -142,6 +142,7 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, crowd):
                 w[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
             rows.append((rng.choice([None, rng.randrange(40)]), " ".join(w)))
     monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "BLOCK", crowd)
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", crowd)
     monkeypatch.setattr(storage, "HOT", crowd)
     monkeypatch.setattr(storage, "MOST_HOT", 10**9)
