@@ -29,7 +29,7 @@ WINDOW, PREFIX = 20, 8
 INSIDE = WINDOW - PREFIX + 1
 DEPTHS = (8, 14, 20)
 #: Places of a prefix up to which its group is a subtree in one task; places that a task handles at once.
-CROWD, CHUNK = 20_000, 40_000
+CROWD, CHUNK = 4_000, 40_000
 #: Ids up to this number are broadcast.
 BROADCAST_IDS = 1_000_000
 #: What tells documents apart, in their order. `own` is 0 where the id alone does, below 0 where texts differ
