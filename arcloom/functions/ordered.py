@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def prefix_sum(df: DataFrame, key: str, value: Column, name: str, block: int = 65_536) -> DataFrame:
     """Adds the exclusive sum of value by key (integers, any gaps): in blocks of keys, then over their totals."""
@@ -22,9 +24,9 @@ def lag_by_block(df: DataFrame, key: str, value: str, name: str, block: int = 65
 
 
 def ranked(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
-    """Adds the place (from 0) in the order, which must be total: range partitions, then their counts."""
+    """Adds the place (from 0) in the order, which must be total: range partitions (stored), then their counts."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    dealt = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     dealt = dealt.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -96,6 +96,16 @@ def close(points: Column) -> Column:
     return F.concat(points, F.slice(points, 1, 1))
 
 
+def rotated(a: Column, key: Column) -> Column:
+    """The array a, starting at the place where key (as long as a) is least."""
+    return let(F.array_position(key, F.array_min(key)).cast("int"), lambda p: F.concat(F.slice(a, p, F.size(a)), F.slice(a, 1, p - 1)))
+
+
+def least_first(ring: Column) -> Column:
+    """A closed ring, starting (and ending) at its least point."""
+    return let(without_last(ring), lambda r: F.when(F.size(r) > 0, close(rotated(r, r))).otherwise(ring))
+
+
 def signed_area2(ring: Column) -> Column:
     """Twice the signed area, summed from the first point to the last."""
     pairs = F.sequence(F.lit(0), F.size(ring) - 2)

@@ -1,14 +1,19 @@
 """Dissolving selections of features: membership, boundary, components, rings.
 
-All merges run as one job keyed by merge_id. Counting and coordinates stay in the JVM;
-only chaining boundary arcs into rings, which depends on their order, is a grouped
-function, and it sees endpoints, not coordinates.
+All merges run as one job keyed by merge_id. Counting, the choice of boundary arcs, their
+endpoints and all coordinates stay in the JVM. Chaining boundary references into rings
+depends on their order, which a walk over polygons that share arcs defines; that is a
+grouped function. It gets a row for each polygon: the ids of its shared arcs (for the walk)
+and its boundary references with endpoints. With walk=False polygons go by their place
+in the selection instead, components come from a distributed job, and only polygons with
+boundary references are sent at all.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,23 +132,41 @@ def stitch(refs: list[int], starts: list, ends: list) -> list[list[int]]:
 RINGS = "merge_id long, poly_idx int, ring_idx int, pos int, arc_ref int"
 
 
-def stitch_merge(rows: pd.DataFrame) -> pd.DataFrame:
+EDGE = ["arc_ref", "sx", "sy", "ex", "ey"]
+
+
+def polygon_rows(refs: DataFrame, arcs: DataFrame, keys: list[str], walk: bool) -> DataFrame:
+    """A row for each polygon: keys, the arcs that it shares with others, and its boundary references, each in their order.
+
+    Arcs that cancel are counted out before any endpoint is looked up.
+    """
+    times = F.count("*").over(Window.partitionBy("merge_id", "arc_id"))
+    counted = refs.select(*keys, "ring_idx", "pos", "arc_id", "arc_ref", times.alias("n"))
+    single = counted.where("n = 1").join(arcs.select("arc_id", "sx", "sy", "ex", "ey"), "arc_id")
+    in_order = lambda *c: F.array_sort(F.collect_list(F.struct("ring_idx", "pos", *c)))
+    edge = single.groupBy(*keys).agg(in_order(*EDGE).alias("e")).select(*keys, *[F.col(f"e.{c}").alias(c) for c in EDGE])
+    if not walk:
+        return edge.withColumn("shared", F.array().cast("array<int>"))
+    shared = counted.where("n > 1").groupBy(*keys).agg(in_order("arc_id").alias("s")).select(*keys, F.col("s.arc_id").alias("shared"))
+    empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+    return edge.join(shared, keys, "full").select(*keys, empty("arc_ref", "int"), *[empty(c, "double") for c in EDGE[1:]], empty("shared", "int"))
+
+
+def stitch_merge(rows: pd.DataFrame, walk: bool = True) -> pd.DataFrame:
     """All polygons of one merge (or of one component of it) to its rings' references."""
-    rows = rows.sort_values([*POLY, "ring_idx", "pos"], kind="stable")
-    change = (rows[POLY] != rows[POLY].shift()).any(axis=1).cumsum().to_numpy() - 1
-    arc, ref = rows["arc_id"].tolist(), rows["arc_ref"].tolist()
-    starts, ends = list(zip(rows["sx"], rows["sy"], strict=True)), list(zip(rows["ex"], rows["ey"], strict=True))
-    polygons: list[list[int]] = [[] for _ in range(change[-1] + 1)]
-    lines: list[list[int]] = [[] for _ in polygons]
-    count: dict[int, int] = {}
-    for k, p in enumerate(change):
-        polygons[p].append(arc[k])
-        lines[p].append(k)
-        count[arc[k]] = count.get(arc[k], 0) + 1
+    rows = rows.sort_values(POLY, kind="stable")
+    groups = discover([x.tolist() for x in rows["shared"]]) if walk else [list(range(len(rows)))]
+    refs, starts, ends = [], [], []
+    for ref, sx, sy, ex, ey in zip(*(rows[c] for c in EDGE), strict=True):
+        a, b = list(zip(sx.tolist(), sy.tolist(), strict=True)), list(zip(ex.tolist(), ey.tolist(), strict=True))
+        back = np.asarray(ref) < 0
+        refs.append(ref.tolist())
+        starts.append([q if r else p for p, q, r in zip(a, b, back, strict=True)])
+        ends.append([p if r else q for p, q, r in zip(a, b, back, strict=True)])
     out, poly = [], 0
-    for group in discover(polygons):
-        edge = [k for p in group for k in lines[p] if count[arc[k]] == 1]
-        rings = stitch([ref[k] for k in edge], [starts[k] if ref[k] >= 0 else ends[k] for k in edge], [ends[k] if ref[k] >= 0 else starts[k] for k in edge])
+    for group in groups:
+        flat = lambda x: [v for p in group for v in x[p]]  # noqa: B023, E731
+        rings = stitch(flat(refs), flat(starts), flat(ends))
         out += [(poly, n, pos, r) for n, ring in enumerate(rings) for pos, r in enumerate(ring)]
         poly += bool(rings)
     found = pd.DataFrame(out, columns=["poly_idx", "ring_idx", "pos", "arc_ref"])
@@ -151,23 +174,29 @@ def stitch_merge(rows: pd.DataFrame) -> pd.DataFrame:
     return found
 
 
-def merge_arcs(selection: DataFrame, arc_refs: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(merge_id, poly_idx, ring_idx, pos, arc_ref): rings as references; needs endpoints only."""
-    ends = arcs.select("arc_id", "sx", "sy", "ex", "ey")
-    rows = expand(selection, arc_refs).join(ends, "arc_id").select("merge_id", *POLY, "ring_idx", "pos", "arc_id", "arc_ref", "sx", "sy", "ex", "ey")
-    return rows.groupBy("merge_id").applyInPandas(stitch_merge, RINGS)
+def merge_arcs(selection: DataFrame, arc_refs: DataFrame, arcs: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """(merge_id, poly_idx, ring_idx, pos, arc_ref): rings as references; needs endpoints only.
+
+    Given features, a selected geometry that is none of them raises; without, it is passed over.
+    """
+    selection = selection if features is None else checked(selection, features)
+    rows = polygon_rows(expand(selection, arc_refs), arcs, ["merge_id", *POLY], True)
+    return rows.groupBy("merge_id").applyInPandas(lambda rows: stitch_merge(rows), RINGS)
+
 
+def merge_arcs_by_component(selection: DataFrame, arc_refs: DataFrame, arcs: DataFrame, walk: bool = True) -> DataFrame:
+    """merge_arcs for merges too large for a task: components come from a distributed job, a task holds one of them.
 
-def merge_arcs_by_component(selection: DataFrame, arc_refs: DataFrame, arcs: DataFrame) -> DataFrame:
-    """merge_arcs for merges too large for a task: components come from a distributed job, a task holds one of them."""
+    With walk=False only boundary references leave the JVM; rings are then the same but
+    where more than two of them meet in a point.
+    """
     refs = expand(selection, arc_refs)
     roots = polygon_components(refs)
-    ends = arcs.select("arc_id", "sx", "sy", "ex", "ey")
-    rows = refs.join(roots, ["merge_id", *POLY]).join(ends, "arc_id").select("root", "merge_id", *POLY, "ring_idx", "pos", "arc_id", "arc_ref", "sx", "sy", "ex", "ey")
+    rows = polygon_rows(refs.join(roots, ["merge_id", *POLY]), arcs, ["root", "merge_id", *POLY], walk)
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         seed = key[0]
-        out = stitch_merge(part)
+        out = stitch_merge(part, walk)
         return out.assign(**{f"seed_{c}": seed[c] for c in POLY})
 
     found = rows.groupBy("root").applyInPandas(one, RINGS + ", seed_input_ord int, seed_ord int, seed_poly_idx int")
@@ -184,21 +213,31 @@ def ring_coords(rings: DataFrame, arcs: DataFrame) -> DataFrame:
     return coords.withColumn("area2", S.area2(F.col("coords")))
 
 
-def merge(selection: DataFrame, arc_refs: DataFrame, arcs: DataFrame) -> DataFrame:
+def merge(selection: DataFrame, arc_refs: DataFrame, arcs: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """(merge_id, poly_idx, ring_idx, is_exterior, arcs, coords, area2).
 
     Rings of fewer than 4 points go; of each polygon the ring of the largest area comes
-    first. A selection without boundary gives no rows.
+    first. A selection without boundary gives no rows. Given features, unknown geometries raise.
     """
-    rings = ring_coords(merge_arcs(selection, arc_refs, arcs), arcs).where(F.size("coords") >= 4)
+    rings = ring_coords(merge_arcs(selection, arc_refs, arcs, features), arcs).where(F.size("coords") >= 4)
     ring = F.row_number().over(Window.partitionBy("merge_id", "poly_idx").orderBy(F.desc("area2"), "ring_idx")) - 1
     poly = F.dense_rank().over(Window.partitionBy("merge_id").orderBy("poly_idx")) - 1
     return rings.withColumn("ring_idx", ring).withColumn("poly_idx", poly).select("merge_id", "poly_idx", "ring_idx", (F.col("ring_idx") == 0).alias("is_exterior"), "arcs", "coords", "area2")
 
 
-def geojson(merged: DataFrame) -> DataFrame:
-    """(merge_id, geometry): a MultiPolygon as JSON text for each merge."""
-    ring = F.transform("coords", lambda p: F.array(p["x"], p["y"]))
+def bbox(arcs: DataFrame) -> DataFrame:
+    """(x0, y0, x1, y1) of all points: one row, nulls without any."""
+    p = arcs.select(F.explode("points").alias("p"))
+    return p.agg(F.min("p.x").alias("x0"), F.min("p.y").alias("y0"), F.max("p.x").alias("x1"), F.max("p.y").alias("y1"))
+
+
+def geojson(merged: DataFrame, canonical: bool = False) -> DataFrame:
+    """(merge_id, geometry): a MultiPolygon as JSON text for each merge.
+
+    canonical: each ring starts at its least point, so that equal shapes give equal texts.
+    """
+    coords = S.least_first(F.col("coords")) if canonical else F.col("coords")
+    ring = F.transform(coords, lambda p: F.array(p["x"], p["y"]))
     polygons = merged.groupBy("merge_id", "poly_idx").agg(F.array_sort(F.collect_list(F.struct("ring_idx", ring.alias("ring")))).alias("rings"))
     whole = polygons.groupBy("merge_id").agg(F.array_sort(F.collect_list(F.struct("poly_idx", F.col("rings.ring").alias("polygon")))).alias("polygons"))
     return whole.select("merge_id", F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons.polygon").alias("coordinates"))).alias("geometry"))

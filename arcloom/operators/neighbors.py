@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 
 def edges(arc_refs: DataFrame, mode: str = "first") -> DataFrame:
-    """(geom_id, nbr), both directions, distinct, without self.
+    """(geom_id, nbr), distinct, without self, of the references of one layer.
 
-    "first": of each arc, the first geometry that has it forward and the first that has it
-    reversed are neighbours; and any geometry that has an arc sees the first of the other
-    side. "all": every two geometries on an arc's two sides or on one side, through the
-    arc's first geometry only if more than two share it.
+    "first": of each arc only the first geometry that has it forward and the first that has
+    it reversed can be neighbours of others. Whoever has the arc, in either direction, sees
+    the forward one, and the forward one sees the reversed one; so where more than two
+    share an arc, or two in one direction, it isn't symmetric. "all": every geometry of an
+    arc and the arc's first one see each other, so two users always do, and what more users
+    give grows with their number, not with its square.
     """
-    sides = arc_refs.groupBy("arc_id").agg(F.min(F.when(F.col("forward"), F.col("geom_id"))).alias("fwd"), F.min(F.when(~F.col("forward"), F.col("geom_id"))).alias("rev"))
     if mode == "first":
-        seen = arc_refs.select("geom_id", "arc_id", "forward").join(sides, "arc_id")
-        out = seen.select("geom_id", F.when(F.col("forward"), F.col("rev")).otherwise(F.col("fwd")).alias("nbr"))
+        sides = arc_refs.groupBy("arc_id").agg(F.min(F.when(F.col("forward"), F.col("geom_id"))).alias("fwd"), F.min(F.when(~F.col("forward"), F.col("geom_id"))).alias("rev"))
+        seen = arc_refs.select("geom_id", "arc_id").distinct().join(sides, "arc_id")
+        out = seen.select("geom_id", F.when(F.col("fwd") == F.col("geom_id"), F.col("rev")).otherwise(F.col("fwd")).alias("nbr"))
     elif mode == "all":
         own = arc_refs.select("arc_id", "geom_id").distinct()
-        out = own.join(own.withColumnRenamed("geom_id", "nbr"), "arc_id").select("geom_id", "nbr")
+        star = own.join(own.groupBy("arc_id").agg(F.min("geom_id").alias("nbr")), "arc_id")
+        out = star.select(F.explode(F.array(F.struct("geom_id", "nbr"), F.struct(F.col("nbr").alias("geom_id"), F.col("geom_id").alias("nbr")))).alias("e")).select("e.*")
     else:
         raise ValueError(mode)
     return out.where("nbr IS NOT NULL AND geom_id <> nbr").distinct()

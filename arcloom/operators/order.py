@@ -49,39 +49,88 @@ def hierarchical_str(arcs: DataFrame, arc_refs: DataFrame) -> DataFrame:
     return outline_first(df, [F.desc("ref_count"), F.asc("strip"), F.asc("sy"), F.asc("sx"), F.asc("arc_id")])
 
 
-def first_visits(arc_refs: DataFrame, arcs: DataFrame) -> DataFrame:
+def first_visits(arc_refs: DataFrame, arcs: DataFrame, layers: list[str] | None = None) -> DataFrame:
     """hilbert: geometries walk along the curve by their first point; an arc's place is its first visit.
 
-    One layer or none: arcs keep their order. Arcs without a visit come first in their group.
+    Geometries at one place go by their layer's place in `layers` (by name where not given,
+    or not listed), then by id. One layer or none: arcs keep their order. Arcs without a
+    visit come first in their group.
     """
-    counts = keyed(arcs, arc_refs).select("arc_id", "outline")
-    layers = arc_refs.select("layer").distinct().limit(2).count()
-    if layers <= 1:
+    names = [r.layer for r in arc_refs.select("layer").distinct().orderBy("layer").collect()]
+    if len(names) <= 1:
         return arcs.select("arc_id", F.col("arc_id").cast("long").alias("new_id"))
+    listed = [*(layers or []), *(x for x in names if x not in (layers or []))]
+    place = F.array_position(F.array(*map(F.lit, listed)), F.col("layer"))
+    counts = keyed(arcs, arc_refs).select("arc_id", "outline")
     first = arc_refs.where("poly_idx = 0 AND ring_idx = 0 AND pos = 0").join(arcs.select("arc_id", "sx", "sy"), "arc_id")
     b = first.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
     box = [F.lit(float(v or 0.0)) for v in b]
     key = S.hilbert_key(S.grid_cell(F.col("sx"), box[0], box[1]), S.grid_cell(F.col("sy"), box[2], box[3]))
-    walk = ranked(first.select("layer", "geom_id", key.alias("key")), [F.asc("key"), F.asc("layer"), F.asc("geom_id")], "walk")
+    walk = ranked(first.select("layer", "geom_id", key.alias("key"), place.alias("place")), [F.asc("key"), F.asc("place"), F.asc("geom_id")], "walk")
     visit = arc_refs.join(walk.select("layer", "geom_id", "walk"), ["layer", "geom_id"]).groupBy("arc_id").agg(F.min(F.struct("walk", "poly_idx", "ring_idx", "pos")).alias("visit"))
     return outline_first(counts.join(visit, "arc_id", "left"), [F.asc_nulls_first("visit"), F.asc("arc_id")])
 
 
+ORDERS = {"hilbert": first_visits, "hierarchical-hilbert": lambda refs, arcs, layers: hierarchical_hilbert(arcs, refs), "hierarchical-str": lambda refs, arcs, layers: hierarchical_str(arcs, refs), "hierarchical-greedy-path": lambda refs, arcs, layers: hierarchical_greedy(arcs, refs)}
+
+
+def arc_order(arc_refs: DataFrame, arcs: DataFrame, by: str = "hierarchical-hilbert", layers: list[str] | None = None) -> DataFrame:
+    """(arc_id, new_id) by the order's name; an unknown one raises."""
+    if by not in ORDERS:
+        raise ValueError(f"no order {by!r}; there are {', '.join(ORDERS)}")
+    return ORDERS[by](arc_refs, arcs, layers)
+
+
+def inverted(permutation: DataFrame) -> DataFrame:
+    """(arc_id, new_id) of the inverse permutation."""
+    return permutation.select(F.col("new_id").cast("int").alias("arc_id"), F.col("arc_id").cast("long").alias("new_id"))
+
+
 def greedy_tier(rows: pd.DataFrame) -> pd.DataFrame:
-    """A path from the point of least x + y, always to the nearest point left; ties to the lowest id."""
+    """A path from the point of least x + y, always to the nearest point left; ties to the lowest id.
+
+    Points lie in the cells of a grid; a step looks at rings of cells around its own until
+    what is found is nearer than any further ring.
+    """
     rows = rows.sort_values("arc_id")
-    x, y = rows["sx"].to_numpy(), rows["sy"].to_numpy()
-    left, order = np.ones(len(rows), bool), []
-    at = int(np.argmin(x + y))
+    x, y = rows["sx"].to_numpy(float), rows["sy"].to_numpy(float)
+    n = len(rows)
+    wide = max(x.max() - x.min(), y.max() - y.min()) or 1.0
+    side = max(1, int(math.sqrt(n / 2)))
+    size = wide / side
+    cx, cy = np.minimum(((x - x.min()) / size).astype(int), side - 1), np.minimum(((y - y.min()) / size).astype(int), side - 1)
+    cells: dict[tuple[int, int], list[int]] = {}
+    for k in range(n):
+        cells.setdefault((int(cx[k]), int(cy[k])), []).append(k)
+    at, order = int(np.argmin(x + y)), []
     while True:
         order.append(at)
-        left[at] = False
-        if not left.any():
+        here = (int(cx[at]), int(cy[at]))
+        cells[here].remove(at)
+        if not cells[here]:
+            del cells[here]
+        if len(order) == n:
             break
-        d = np.where(left, (x - x[at]) ** 2 + (y - y[at]) ** 2, math.inf)
-        at = int(np.argmin(d))
-    step = np.empty(len(rows), np.int64)
-    step[order] = np.arange(len(rows))
+        best, ring = (math.inf, -1), 0
+        while True:
+            i, j = here
+            # a point in ring r + 1 is further away than r cells less the place within the own cell
+            around = ((i + a, j + b) for a in range(-ring, ring + 1) for b in ((-ring, ring) if abs(a) < ring else range(-ring, ring + 1)))
+            if ring > 3 and (2 * ring + 1) ** 2 > 4 * len(cells):  # few are left: look at all
+                around, ring = list(cells), 2 * side
+            for c in around:
+                for k in cells.get(c, ()):
+                    d = (x[k] - x[at]) ** 2 + (y[k] - y[at]) ** 2
+                    if (d, k) < best:
+                        best = (d, k)
+            # the nearest edge of the square looked at so far
+            edge = min(x[at] - x.min() - (i - ring) * size, x.min() + (i + ring + 1) * size - x[at], y[at] - y.min() - (j - ring) * size, y.min() + (j + ring + 1) * size - y[at])
+            if best[0] < (edge * (1 - 1e-9)) ** 2 or ring >= 2 * side:
+                break
+            ring += 1
+        at = best[1]
+    step = np.empty(n, np.int64)
+    step[order] = np.arange(n)
     return rows.assign(step=step)[["arc_id", "ref_count", "outline", "step"]]
 
 

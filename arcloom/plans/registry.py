@@ -6,7 +6,6 @@ Each query runs over its whole tables; the topology is derived from `customer`
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.ordered import prefix_sum
 from ..operators import blocks, merge, neighbors, order, props
-from ..sources.container import read_container, write_container
+from ..sources.container import decode_container, read_container, rewrite_container, write_container
 from ..sources.grid import WIDTH, grid, refs_of, tile_selection
+from ..sources.topojson import read_topology, write_topology
+from ..storage import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,10 +119,11 @@ def property_nested(spark, d):
     return back.select("geom_id", F.col("`who/name`").alias("c_name"), F.col("`who/segment`").alias("c_mktsegment"))
 
 
-@query("SELECT arc_id, sx, sy, ex, ey FROM arcs WHERE arc_id IN (SELECT arc_id FROM r WHERE nation = 3)")
+@query("SELECT arc_id, sx, sy, ex, ey FROM arcs WHERE arc_id IN (SELECT arc_id FROM r GROUP BY arc_id HAVING count(DISTINCT nation) > 1)")
 def fetch_arcs(spark, d):
+    """The arcs between nations: ids derived from all references."""
     g = grid(spark, d)
-    ids = refs(g).where("merge_id = 3").select("arc_id").distinct()
+    ids = refs(g).groupBy("arc_id").agg(F.count_distinct("merge_id").alias("n")).where("n > 1").select("arc_id")
     return g.arcs.join(ids, "arc_id", "left_semi").select("arc_id", F.col("points")[0]["x"].alias("sx"), F.col("points")[0]["y"].alias("sy"), F.element_at("points", -1)["x"].alias("ex"), F.element_at("points", -1)["y"].alias("ey"))
 
 
@@ -258,21 +260,64 @@ def merge_area(spark, d):
     return rings.groupBy("merge_id").agg(F.sum(S.signed_area2(F.col("coords"))).alias("area2"))
 
 
-@query()
-def merge_by_nation(spark, d):
+#: Rings of the merges by nation, walked arc by arc from each boundary reference; `root` is the component.
+RINGS = COMPONENTS + """, once AS (SELECT nation, arc_id FROM r GROUP BY 1, 2 HAVING count(*) = 1),
+b AS (SELECT r.nation, root, r.arc_id, r.arc_ref, CASE WHEN forward THEN sx ELSE ex END AS ax, CASE WHEN forward THEN sy ELSE ey END AS ay, CASE WHEN forward THEN ex ELSE sx END AS vx, CASE WHEN forward THEN ey ELSE sy END AS vy
+  FROM r JOIN once USING (nation, arc_id) JOIN arcs USING (arc_id) JOIN w ON node = r.geom_id),
+tour AS (WITH RECURSIVE t(nation, root, first, cur, vx, vy, k) AS (SELECT nation, root, arc_ref, arc_ref, vx, vy, 0 FROM b UNION ALL
+  SELECT t.nation, t.root, t.first, b.arc_ref, b.vx, b.vy, k + 1 FROM t JOIN b ON b.nation = t.nation AND b.root = t.root AND b.ax = t.vx AND b.ay = t.vy WHERE b.arc_ref <> t.first) SELECT * FROM t),
+least AS (SELECT nation, root, first, min(CASE WHEN cur < 0 THEN -cur - 1 ELSE cur END) AS arc FROM tour GROUP BY 1, 2, 3),
+loops AS (SELECT t.nation, t.root, t.first, string_agg(cur::VARCHAR, ',' ORDER BY k) AS arcs, min(arc) AS arc FROM tour t JOIN least l USING (nation, root, first) WHERE arc = CASE WHEN first < 0 THEN -first - 1 ELSE first END GROUP BY 1, 2, 3),
+corner AS (SELECT t.nation, t.root, loops.first, t.k, b.ax, b.ay FROM loops JOIN tour t USING (nation, root, first) JOIN b ON b.nation = t.nation AND b.root = t.root AND b.arc_ref = t.cur),
+turned AS (SELECT nation, root, first, ax, ay, (k - first_value(k) OVER (PARTITION BY nation, root, first ORDER BY ax, ay) + count(*) OVER (PARTITION BY nation, root, first)) % count(*) OVER (PARTITION BY nation, root, first) AS k FROM corner),
+outline AS (SELECT nation, root, first, string_agg('[' || ax || ',' || ay || ']', ',' ORDER BY k) || ',' || min('[' || ax || ',' || ay || ']') FILTER (k = 0) AS coords, count(*) + 1 AS n_points,
+  abs(sum(ax * nay - nax * ay)) AS area2 FROM (SELECT *, coalesce(lead(ax) OVER v, first_value(ax) OVER v) AS nax, coalesce(lead(ay) OVER v, first_value(ay) OVER v) AS nay FROM turned WINDOW v AS (PARTITION BY nation, root, first ORDER BY k)) GROUP BY 1, 2, 3),
+merged AS (SELECT loops.nation AS merge_id, dense_rank() OVER (PARTITION BY loops.nation ORDER BY root) - 1 AS poly_idx, row_number() OVER (PARTITION BY loops.nation, root ORDER BY area2 DESC) - 1 AS ring_idx, arcs, coords, area2 FROM loops JOIN outline USING (nation, root, first))
+"""
+
+
+def _arcs_text(arcs):
+    """References as text, from the one of the least arc on."""
+    return F.array_join(S.rotated(arcs, F.transform(arcs, S.arc_id)).cast("array<string>"), ",")
+
+
+def _merged(spark, d):
     g = grid(spark, d)
-    return merge.merge(g.selection, g.arc_refs, g.arcs)
+    return merge.merge(g.selection, g.arc_refs, g.arcs, g.features)
 
 
-@query()
+@query(RINGS + "SELECT merge_id, poly_idx::INT AS poly_idx, ring_idx::INT AS ring_idx, ring_idx = 0 AS is_exterior, arcs, coords, area2 FROM merged")
+def merge_by_nation(spark, d):
+    coords = F.array_join(F.transform(S.least_first(F.col("coords")), lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit("]"))), ",")
+    return _merged(spark, d).select("merge_id", "poly_idx", "ring_idx", "is_exterior", _arcs_text(F.col("arcs")).alias("arcs"), coords.alias("coords"), "area2")
+
+
+def _ring_arcs(rings):
+    whole = rings.groupBy("merge_id", "poly_idx", "ring_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "arc_ref"))).alias("a"))
+    return whole.select("merge_id", "poly_idx", _arcs_text(F.col("a.arc_ref")).alias("arcs"))
+
+
+@query(RINGS + "SELECT merge_id, poly_idx::INT AS poly_idx, arcs FROM merged")
 def merge_arcs_by_nation(spark, d):
     g = grid(spark, d)
-    return merge.merge_arcs(g.selection, g.arc_refs, g.arcs)
+    return _ring_arcs(merge.merge_arcs(g.selection, g.arc_refs, g.arcs))
 
 
-@query()
+@query(RINGS + "SELECT merge_id, poly_idx::INT AS poly_idx, arcs FROM merged")
+def merge_arcs_boundary_only(spark, d):
+    g = grid(spark, d)
+    return _ring_arcs(merge.merge_arcs_by_component(g.selection, g.arc_refs, g.arcs, walk=False))
+
+
+@query(RINGS + """, polygon AS (SELECT merge_id, poly_idx, '[' || string_agg('[' || coords || ']', ',' ORDER BY ring_idx) || ']' AS p FROM merged GROUP BY 1, 2)
+SELECT merge_id, '{"type":"MultiPolygon","coordinates":[' || string_agg(p, ',' ORDER BY poly_idx) || ']}' AS geometry FROM polygon GROUP BY 1""")
 def merge_geojson(spark, d):
-    return merge.geojson(merge_by_nation(spark, d))
+    return merge.geojson(_merged(spark, d), canonical=True)
+
+
+@query("SELECT min(sx) AS x0, min(sy) AS y0, max(ex) AS x1, max(ey) AS y1 FROM arcs")
+def arcs_bbox(spark, d):
+    return merge.bbox(grid(spark, d).arcs)
 
 
 ADJACENT = "SELECT a.geom_id, b.geom_id AS nbr FROM r a JOIN r b ON a.arc_id = b.arc_id AND a.geom_id <> b.geom_id"
@@ -294,6 +339,30 @@ def neighbor_degree(spark, d):
     return neighbors.edges(grid(spark, d).arc_refs).groupBy("geom_id").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("n"))
 
 
+#: Cells whose key is a multiple of 3 once more, as geometries of their own in the same layer.
+SHARED = """, hi AS (SELECT max(g) + 1 AS m FROM cells),
+q AS (SELECT geom_id, arc_id, forward FROM r UNION ALL SELECT geom_id + m, arc_id, forward FROM r, hi WHERE geom_id % 3 = 0)
+"""
+
+
+def _shared(g):
+    top = g.features.agg((F.max("geom_id") + 1).alias("m"))
+    more = g.arc_refs.where("geom_id % 3 = 0").join(F.broadcast(top)).withColumn("geom_id", F.col("geom_id") + F.col("m")).drop("m")
+    return g.arc_refs.unionByName(more)
+
+
+@query(SHARED + """, s AS (SELECT arc_id, min(geom_id) FILTER (forward) AS fwd, min(geom_id) FILTER (NOT forward) AS rev FROM q GROUP BY 1),
+e AS (SELECT DISTINCT geom_id, CASE WHEN geom_id = fwd THEN rev ELSE fwd END AS nbr FROM q JOIN s USING (arc_id)) SELECT geom_id, nbr FROM e WHERE nbr IS NOT NULL AND nbr <> geom_id""")
+def neighbors_shared(spark, d):
+    return neighbors.edges(_shared(grid(spark, d)))
+
+
+@query(SHARED + """, s AS (SELECT arc_id, min(geom_id) AS one FROM q GROUP BY 1)
+SELECT geom_id, one AS nbr FROM q JOIN s USING (arc_id) WHERE geom_id <> one UNION SELECT one, geom_id FROM q JOIN s USING (arc_id) WHERE geom_id <> one""")
+def neighbors_shared_all(spark, d):
+    return neighbors.edges(_shared(grid(spark, d)), "all")
+
+
 COUNTS = ", n AS (SELECT arcs.arc_id, sx, sy, coalesce(sum(forward::INT), 0)::BIGINT AS ref_fwd, coalesce(sum((NOT forward)::INT), 0)::BIGINT AS ref_rev FROM arcs LEFT JOIN r ON r.arc_id = arcs.arc_id GROUP BY 1, 2, 3)\n"
 
 
@@ -329,10 +398,23 @@ def order_hierarchical_hilbert(spark, d):
     return order.hierarchical_hilbert(g.arcs, g.arc_refs)
 
 
-@query("SELECT arc_id, arc_id::BIGINT AS new_id FROM arcs")
+#: Two layers, first `odd` (cells of an odd x), then all cells; each geometry's key is that of its first arc's first point.
+TWO_LAYERS = """, two AS (SELECT 0 AS place, geom_id, pos, arc_id, forward FROM r WHERE x % 2 = 1 UNION ALL SELECT 1, geom_id, pos, arc_id, forward FROM r),
+n AS (SELECT arcs.arc_id, coalesce(sum(forward::INT), 0) <> coalesce(sum((NOT forward)::INT), 0) AS outline FROM arcs LEFT JOIN two ON two.arc_id = arcs.arc_id GROUP BY 1),
+f AS (SELECT place, geom_id, sx, sy FROM two JOIN arcs USING (arc_id) WHERE pos = 0), fb AS (SELECT min(sx) AS x0, max(sx) AS x1, min(sy) AS y0, max(sy) AS y1 FROM f),
+q AS (SELECT place, geom_id, trunc((sx - x0) * (65535.0::DOUBLE / CASE WHEN x1 = x0 THEN 1 ELSE x1 - x0 END))::BIGINT AS qx, trunc((sy - y0) * (65535.0::DOUBLE / CASE WHEN y1 = y0 THEN 1 ELSE y1 - y0 END))::BIGINT AS qy FROM f, fb),
+k AS (WITH RECURSIVE t(place, geom_id, s, x, y, d) AS (SELECT place, geom_id, 32768::BIGINT, least(qx, 65535), least(qy, 65535), 0::BIGINT FROM q UNION ALL
+  SELECT place, geom_id, s // 2, CASE WHEN (y & s) = 0 THEN CASE WHEN (x & s) > 0 THEN s - 1 - y ELSE y END ELSE x END, CASE WHEN (y & s) = 0 THEN CASE WHEN (x & s) > 0 THEN s - 1 - x ELSE x END ELSE y END,
+    d + s * s * xor(CASE WHEN (x & s) > 0 THEN 3 ELSE 0 END, CASE WHEN (y & s) > 0 THEN 1 ELSE 0 END) FROM t WHERE s > 0) SELECT place, geom_id, row_number() OVER (ORDER BY d, place, geom_id) AS walk FROM t WHERE s = 0),
+v AS (SELECT arc_id, min(walk * 4 + pos) AS visit FROM two JOIN k USING (place, geom_id) GROUP BY 1)
+"""
+
+
+@query(TWO_LAYERS + "SELECT n.arc_id, row_number() OVER (ORDER BY outline DESC, visit NULLS FIRST, n.arc_id) - 1 AS new_id FROM n LEFT JOIN v ON v.arc_id = n.arc_id")
 def order_hilbert(spark, d):
     g = grid(spark, d)
-    return order.first_visits(g.arc_refs, g.arcs)
+    odd = g.arc_refs.where(f"geom_id % {WIDTH} % 2 = 1").withColumn("layer", F.lit("odd"))
+    return order.arc_order(g.arc_refs.unionByName(odd), g.arcs, "hilbert", ["odd", "cell"])
 
 
 @query(COUNTS + """, s AS (SELECT *, ref_fwd + ref_rev AS c, row_number() OVER (PARTITION BY ref_fwd + ref_rev ORDER BY sx, arc_id) - 1 AS p, count(*) OVER (PARTITION BY ref_fwd + ref_rev) AS m FROM n)
@@ -348,6 +430,26 @@ def order_greedy_path(spark, d):
     return order.hierarchical_greedy(g.arcs, g.arc_refs)
 
 
+#: Orders by customer: sizes that differ.
+SIZES = "(SELECT c_custkey::INT AS k, (coalesce(n_orders, 0) * 97 + c_custkey % 13)::BIGINT AS size FROM customer LEFT JOIN " + ORDERS + " ON o_custkey = c_custkey)"
+
+
+def _sizes(spark, d):
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("int").alias("arc_id")).agg(F.count("*").alias("n"))
+    cells = grid(spark, d).features.select(F.col("geom_id").alias("arc_id"))
+    return cells.join(n, "arc_id", "left").select("arc_id", (F.coalesce("n", F.lit(0)) * 97 + F.col("arc_id") % 13).alias("byte_len"))
+
+
+@query(f"SELECT k AS arc_id, size AS byte_len, (sum(size) OVER (ORDER BY k) - size)::BIGINT AS byte_offset FROM {SIZES}", False)
+def offsets_unequal(spark, d):
+    return prefix_sum(_sizes(spark, d), "arc_id", F.col("byte_len"), "byte_offset")
+
+
+@query(f"WITH RECURSIVE z AS {SIZES}, t(arc_id, byte_len, block_id, used) AS (SELECT k, size, 0::BIGINT, size FROM z WHERE k = 0 UNION ALL SELECT z.k, z.size, CASE WHEN used > 0 AND used + z.size > 4096 THEN block_id + 1 ELSE block_id END, CASE WHEN used > 0 AND used + z.size > 4096 THEN z.size ELSE used + z.size END FROM t JOIN z ON z.k = t.arc_id + 1) SELECT arc_id, byte_len, block_id, (used - byte_len)::BIGINT AS local_offset FROM t", False)
+def blocks_unequal(spark, d):
+    return blocks.block_offsets(blocks.assign_blocks(_sizes(spark, d)))
+
+
 def _blocks(spark, d):
     return blocks.assign_blocks(grid(spark, d).arcs.select("arc_id", (F.size("points") * 16).alias("byte_len")))
 
@@ -371,8 +473,7 @@ def stored_grid(spark: SparkSession, sf_dir: str) -> str:
     """The derived topology, written as a quantized container in the shared folder."""
     g = grid(spark, sf_dir)
     features = g.features.select("layer", "geom_id", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").cast("double").alias("acctbal"), F.struct(F.col("c_nationkey").alias("nation")).alias("at"))).alias("properties"))
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="arcloom-")
-    path = f"{folder.rstrip('/')}/container-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/container-{uuid.uuid4().hex}"
     write_container({"arcs": g.arcs, "arc_refs": g.arc_refs, "features": features}, path, {"scale": [1, 1], "translate": [0, 0]})
     return path
 
@@ -392,9 +493,45 @@ def container_columns(spark, d):
     return read_container(spark, stored_grid(spark, d), "features", layer="cell")
 
 
-@query("SELECT arc_id, sx, sy, ex, ey FROM arcs WHERE arc_id IN (0, 5, 77)")
+@query("SELECT arc_id, sx, sy, ex, ey FROM arcs WHERE arc_id IN (SELECT arc_id FROM r WHERE geom_id % 25 = 0)")
 def container_arcs_by_id(spark, d):
-    return read_container(spark, stored_grid(spark, d), ids="0,5,77").select("arc_id", "sx", "sy", "ex", "ey")
+    """The arcs of the first column of cells, by ids that the references give."""
+    ids = grid(spark, d).arc_refs.where("geom_id % 25 = 0").select("arc_id").distinct()
+    found = ",".join(str(r.arc_id) for r in ids.orderBy("arc_id").collect())
+    return read_container(spark, stored_grid(spark, d), ids=found).select("arc_id", "sx", "sy", "ex", "ey")
+
+
+@query("SELECT arc_id, sx, sy, ex, ey FROM arcs")
+def container_endpoints(spark, d):
+    return read_container(spark, stored_grid(spark, d), "endpoints")
+
+
+@query("SELECT arc_id, sx, ey FROM arcs WHERE arc_id >= 100 AND arc_id < 2000")
+def container_pruned_scan(spark, d):
+    """A plain filter on arc ids, pushed into the source where the session allows it."""
+    return read_container(spark, stored_grid(spark, d)).where("arc_id >= 100 AND arc_id < 2000").select("arc_id", "sx", "ey")
+
+
+@query("SELECT geom_id, pos, arc_ref FROM r")
+def container_roundtrip(spark, d):
+    """Written, decoded to tables, written and read again."""
+    again = f"{shared_dir(spark)}/container-{uuid.uuid4().hex}"
+    write_container(decode_container(spark, stored_grid(spark, d)), again, {"scale": [1, 1], "translate": [0, 0]})
+    return read_container(spark, again, "arc_refs").select("geom_id", "pos", "arc_ref")
+
+
+@query("SELECT g AS geom_id, c_name AS name, (g % 7)::DOUBLE AS acctbal FROM cells")
+def rewrite_property(spark, d):
+    again = f"{shared_dir(spark)}/container-{uuid.uuid4().hex}"
+    n = table(spark, d, "customer").count()
+    rewrite_container(stored_grid(spark, d), again, {"cell/acctbal": [float(k % 7) + 0.0 for k in range(n)]})
+    return read_container(spark, again, "features", layer="cell").select("geom_id", "name", F.col("acctbal").cast("double").alias("acctbal"))
+
+
+@query("SELECT geom_id, pos, arc_ref FROM r")
+def topojson_roundtrip(spark, d):
+    """The topology as one JSON document and back, through the container's tables."""
+    return read_topology(spark, write_topology(decode_container(spark, stored_grid(spark, d))))["arc_refs"].select("geom_id", "pos", "arc_ref")
 
 
 def queries() -> dict:

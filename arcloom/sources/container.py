@@ -1,8 +1,8 @@
 """The binary container of a topology: sections, block-compressed arcs, typed property columns.
 
 Reading is a Spark data source, `format("arc_container")`, that reads only the byte ranges
-its table needs; a task takes a group of arc blocks or a layer. A container is one file,
-which is put together on the driver, as its footer names every section.
+its table needs; a task takes a group of arc blocks or a layer. Arcs are encoded and compressed
+in tasks; as a container is one file whose footer names every section, the driver puts it together.
 """
 
 from __future__ import annotations
@@ -12,13 +12,17 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.blocks import TARGET, pack
+from ..operators.blocks import TARGET, assign_blocks
+from ..operators.props import nest
+from ..storage import discard, stored
 from .topojson import REFS
 
 #: Fixed values of the format: magic, version 2.0.0, sizes, element types, codec names.
@@ -28,6 +32,7 @@ DTYPES = {"i8": "<i1", "u8": "<u1", "i16": "<i2", "u16": "<u2", "i32": "<i4", "u
 CODECS = {"zst": "zstd", "br": "brotli"}
 STRUCTURE = ("poly_offsets", "ring_offsets", "arc_refs", "arc_refs_blocks", "arc_refs_partitions", "multi_poly_breaks")
 SPARK_TYPES = {"i8": "tinyint", "u8": "smallint", "i16": "smallint", "u16": "int", "i32": "int", "u32": "bigint", "f64": "double", "strings": "string"}
+ENDPOINTS = "arc_id int, sx double, sy double, ex double, ey double"
 ARCS = "arc_id int, points array<struct<x:double,y:double>>, sx double, sy double, ex double, ey double"
 #: Compressed bytes of arc blocks that a task reads.
 SPLIT = 8 << 20
@@ -123,6 +128,8 @@ class Container:
         places = [struct.unpack_from("<QQ", footer, 8 + k * row + NAME) for k in range(count)]
         self.sections = {s["name"]: s | {"offset": a, "length": b} for s, (a, b) in zip(self.meta["sections"], places, strict=True)}
         self.layers = {x["name"]: x for x in self.meta["layers"]}
+        self.size = size
+        self.check()
 
     def at(self, offset: int, length: int) -> bytes:
         return self.file.read_at(length, offset)
@@ -169,6 +176,39 @@ class Container:
             base = int(part[-1])
         return np.concatenate([*out, [base]])
 
+    def has_endpoints(self) -> bool:
+        return self.meta.get("arcEndpointsBlocks") is not None
+
+    def endpoints(self, first: int, last: int) -> np.ndarray:
+        """Rows (sx, sy, ex, ey) of the arcs of endpoint blocks first..last - 1: four channels of deltas that restart in each block."""
+        spec = self.meta["arcEndpointsBlocks"]
+        parts = [np.cumsum(from_varints(self.framed(spec["partitionsSection"], o, n, spec.get("dictSection"))).reshape(-1, 4), axis=0) for _, o, n in self.endpoint_blocks()[first:last]]
+        return np.concatenate([*parts, np.empty((0, 4), np.int64)])
+
+    def endpoint_blocks(self) -> np.ndarray:
+        """Rows (first arc id, offset, length) of the endpoint blocks."""
+        return self.numbers(self.meta["arcEndpointsBlocks"]["blockTableSection"]).astype(np.int64).reshape(-1, 3)
+
+    def check(self) -> None:
+        """Raises where a described section is missing or lies outside the file, which is found at open and not in a task."""
+        for name, s in self.sections.items():
+            if s["offset"] + s["length"] > self.size or s["offset"] < HEADER:
+                raise ValueError(f"section {name} lies outside the file")
+            if s["type"] not in (*DTYPES, "strings", "blob"):
+                raise ValueError(f"section {name} has an unknown type {s['type']}")
+            if s.get("compression") not in (None, *CODECS):
+                raise ValueError(f"section {name} has an unknown compression {s['compression']}")
+        need = ["arc_coords", self.meta["arcCoordsBlocks"]["blockTableSection"]]
+        for block in [self.meta.get(k) for k in ("arcOffsetsBlocks", "arcEndpointsBlocks")] + [x.get("arcRefsBlocks") for x in self.meta["layers"]]:
+            need += [block["blockTableSection"], block["partitionsSection"]] if block else []
+        for spec in (self.meta["arcCoordsBlocks"], self.meta.get("arcOffsetsBlocks"), self.meta.get("arcEndpointsBlocks")):
+            need += [spec["dictSection"]] if spec and spec.get("dictSection") else []
+        need += [] if self.meta.get("arcOffsetsBlocks") else ["arc_offsets"]
+        for x in self.meta["layers"]:
+            need += [f"{x['name']}/poly_offsets", f"{x['name']}/ring_offsets"] + ([] if x.get("arcRefsBlocks") else [f"{x['name']}/arc_refs"])
+        if missing := [n for n in need if n not in self.sections]:
+            raise ValueError(f"sections {missing} are described but missing")
+
     def arc_blocks(self) -> np.ndarray:
         """Rows (end in raw bytes, offset, length) of the arc blocks."""
         return self.numbers(self.meta["arcCoordsBlocks"]["blockTableSection"]).astype(np.int64).reshape(-1, 3)
@@ -181,25 +221,28 @@ class Container:
         return np.frombuffer(b"".join(self.framed(blocks["partitionsSection"], o, n) for _, o, n, _ in table), "<i4")
 
 
-def arc_batch(c: Container, first: int, last: int, ids: list[int] | None) -> pa.RecordBatch:
-    """The arcs of blocks first..last - 1."""
-    blocks, offsets, spec = c.arc_blocks(), c.arc_offsets(), c.meta["arcCoordsBlocks"]
-    base = int(blocks[first - 1, 0]) if first else 0
-    end = int(blocks[last - 1, 0]) if last else 0
-    raw = b"".join(c.framed("arc_coords", o, n, spec.get("dictSection")) for _, o, n in blocks[first:last])
-    begin = offsets[:-1]
-    arcs = np.flatnonzero((begin >= base) & ((begin < end) | (last == len(blocks))))
-    if ids is not None:
-        arcs = arcs[np.isin(arcs, ids)]
+def arc_batch(c: Container, part: Part, wanted) -> pa.RecordBatch:
+    """The arcs of a group of blocks; the part brings their first id and offsets, so a task reads nothing of other blocks."""
+    spec = c.meta["arcCoordsBlocks"]
+    raw = b"".join(c.framed("arc_coords", o, n, spec.get("dictSection")) for o, n in part.frames)
+    offsets = np.asarray(part.offsets, np.int64)
+    inside = np.flatnonzero(wanted(np.arange(part.first, part.first + len(offsets) - 1)))
     points = []
-    for a in arcs:
-        data = raw[offsets[a] - base : offsets[a + 1] - base]
+    for a in inside:
+        data = raw[offsets[a] - offsets[0] : offsets[a + 1] - offsets[0]]
         points.append(np.frombuffer(data, "<f8").reshape(-1, 2) if c.meta["bytesPerPoint"] == 16 else np.cumsum(from_varints(data).reshape(-1, 2), axis=0).astype(float))
     flat = np.concatenate([*points, np.empty((0, 2))])
     pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["x", "y"])
     lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, points)]), pa.int32()), pairs)
     ends = [pa.array([float(p[k, d]) if len(p) else None for p in points], pa.float64()) for k in (0, -1) for d in (0, 1)]
-    return pa.RecordBatch.from_arrays([pa.array(arcs, pa.int32()), lists, *ends], ["arc_id", "points", "sx", "sy", "ex", "ey"])
+    return pa.RecordBatch.from_arrays([pa.array(part.first + inside, pa.int32()), lists, *ends], ["arc_id", "points", "sx", "sy", "ex", "ey"])
+
+
+def endpoint_batch(c: Container, part: Part, wanted) -> pa.RecordBatch:
+    rows = c.endpoints(part.first, part.last)
+    ids = part.offsets[0] + np.arange(len(rows))
+    keep = wanted(ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int32()), *(pa.array(rows[keep, k].astype(float)) for k in range(4))], ["arc_id", "sx", "sy", "ex", "ey"])
 
 
 def ref_rows(c: Container, layer: str) -> Iterator[tuple]:
@@ -216,36 +259,76 @@ def ref_rows(c: Container, layer: str) -> Iterator[tuple]:
 
 
 class Part(InputPartition):
-    def __init__(self, layer: str = "", first: int = 0, last: int = 0):
-        self.layer, self.first, self.last = layer, first, last
+    """A layer; or arcs from id `first` on with their offsets and the frames (offset, length) of their blocks; or endpoint blocks."""
+
+    def __init__(self, layer: str = "", first: int = 0, last: int = 0, offsets: tuple = (), frames: tuple = ()):
+        self.layer, self.first, self.last, self.offsets, self.frames = layer, first, last, offsets, frames
 
 
 class ContainerReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table, self.layer = options["path"], options.get("table", "arcs"), options.get("layer")
-        self.ids = [int(x) for x in options["ids"].split(",") if x] if "ids" in options else None
+        self.ids = sorted({int(x) for x in options["ids"].split(",") if x}) if "ids" in options else None
         self.columns = [x for x in options["columns"].split(",") if x] if "columns" in options else None
+        self.low, self.high = 0, 2**31
+
+    def narrow(self, filters: list) -> None:
+        """Takes comparisons of arc_id with numbers into account; what can't be used is passed over."""
+        for f in filters:
+            if getattr(f, "attribute", None) != ("arc_id",) or self.table not in ("arcs", "endpoints"):
+                continue
+            kind = type(f).__name__
+            if kind == "In":
+                mine = sorted({int(x) for x in f.value if x is not None})
+                self.ids = mine if self.ids is None else sorted(set(mine) & set(self.ids))
+            elif kind == "EqualTo":
+                self.low, self.high = max(self.low, f.value), min(self.high, f.value)
+            elif kind in ("GreaterThan", "GreaterThanOrEqual"):
+                self.low = max(self.low, f.value + (kind == "GreaterThan"))
+            elif kind in ("LessThan", "LessThanOrEqual"):
+                self.high = min(self.high, f.value - (kind == "LessThan"))
+
+    def wanted(self, ids: np.ndarray) -> np.ndarray:
+        keep = (ids >= self.low) & (ids <= self.high)
+        return keep if self.ids is None else keep & np.isin(ids, self.ids)
+
+    def holds(self, first: int, end: int) -> bool:
+        """Whether any id of first..end - 1 is wanted."""
+        a, b = max(first, self.low), min(end - 1, self.high)
+        if a > b:
+            return False
+        return self.ids is None or int(np.searchsorted(self.ids, a)) < int(np.searchsorted(self.ids, b, side="right"))
 
     def partitions(self) -> list[Part]:
         c = Container(self.path)
-        if self.table != "arcs":
+        if self.table == "endpoints" and c.has_endpoints():
+            table = c.endpoint_blocks()
+            firsts = [*table[:, 0].tolist(), c.meta["numArcs"]]
+            return [Part("", k, k + 1, (firsts[k],)) for k in range(len(table)) if self.holds(firsts[k], firsts[k + 1])] or [Part(last=-1)]
+        if self.table not in ("arcs", "endpoints"):
             return [Part(x) for x in c.layers if self.layer in (None, x)]
-        blocks = c.arc_blocks()
-        group = (np.cumsum(blocks[:, 2]) - blocks[:, 2]) // SPLIT
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(blocks)]
-        parts = list(zip(cuts, cuts[1:], strict=False))
-        if self.ids is not None and len(blocks):
-            wanted = np.array([x for x in self.ids if 0 <= x < c.meta["numArcs"]], np.int64)
-            held = np.minimum(np.searchsorted(blocks[:, 0], c.arc_offsets()[wanted], side="right"), len(blocks) - 1)
-            parts = [(int(b), int(b) + 1) for b in np.unique(held)]
-        return [Part("", a, b) for a, b in parts] or [Part(last=-1)]
+        blocks, offsets = c.arc_blocks(), c.arc_offsets()
+        # the first arc of each block; an arc without points lies where the next one does
+        firsts = np.append(np.searchsorted(offsets[:-1], np.concatenate(([0], blocks[:-1, 0])) if len(blocks) else []), len(offsets) - 1).astype(int).tolist()
+        parts, size, run = [], 0, []
+        for k in [k for k in range(len(blocks)) if self.holds(firsts[k], firsts[k + 1])] + [None]:
+            if run and (k is None or k != run[-1] + 1 or size > SPLIT):
+                a, b = firsts[run[0]], firsts[run[-1] + 1]
+                parts.append(Part("", a, b, tuple(offsets[a : b + 1].tolist()), tuple((int(o), int(n)) for _, o, n in blocks[run[0] : run[-1] + 1])))
+                run, size = [], 0
+            if k is not None:
+                run.append(k)
+                size += int(blocks[k, 2])
+        return parts or [Part(last=-1)]
 
     def read(self, part: Part) -> Iterator:
         if part.last < 0:
             return
         c = Container(self.path)
         if self.table == "arcs":
-            yield arc_batch(c, part.first, part.last, self.ids)
+            yield arc_batch(c, part, self.wanted)
+        elif self.table == "endpoints":
+            yield endpoint_batch(c, part, self.wanted) if c.has_endpoints() else arc_batch(c, part, self.wanted).select(["arc_id", "sx", "sy", "ex", "ey"])
         elif self.table == "arc_refs":
             yield from ref_rows(c, part.layer)
         else:
@@ -253,10 +336,20 @@ class ContainerReader(DataSourceReader):
             yield from zip(range(c.layers[part.layer]["numGeometries"]), *[c.column(f"{part.layer}/{n}") for n in names], strict=True)
 
 
+class PushingReader(ContainerReader):
+    """With filters on arc_id: Spark asks only a session that pushes filters into Python sources."""
+
+    def pushFilters(self, filters: list):  # noqa: N802
+        self.narrow(filters)
+        return filters  # Spark looks again, as blocks hold other arcs too
+
+
 class ContainerSource(DataSource):
-    """Options: table (arcs, arc_refs or features), layer (needed for features), ids (arcs), columns (features).
+    """Options: table (arcs, endpoints, arc_refs or features), layer (needed for features), ids (arcs, endpoints), columns (features).
 
-    Only blocks that hold the asked ids, and only the asked columns' sections, are read.
+    Only blocks that hold the asked ids, and only the asked columns' sections, are read; where
+    the session has spark.sql.python.filterPushdown.enabled, filters on arc_id choose blocks too.
+    Endpoints come from their section if the file has one, else from the coordinates.
     """
 
     @classmethod
@@ -265,8 +358,8 @@ class ContainerSource(DataSource):
 
     def schema(self) -> str:
         table = self.options.get("table", "arcs")
-        if table in ("arcs", "arc_refs"):
-            return ARCS if table == "arcs" else REFS
+        if table in ("arcs", "arc_refs", "endpoints"):
+            return {"arcs": ARCS, "arc_refs": REFS, "endpoints": ENDPOINTS}[table]
         c, layer = Container(self.options["path"]), self.options.get("layer")
         if table != "features" or layer not in c.layers:
             raise ValueError(f"no table {table} of layer {layer}")
@@ -276,12 +369,36 @@ class ContainerSource(DataSource):
         return ", ".join(["geom_id int", *(f"`{n}` {SPARK_TYPES[c.sections[f'{layer}/{n}']['type']]}" for n in names)])
 
     def reader(self, schema) -> ContainerReader:
-        return ContainerReader(dict(self.options))
+        return (PushingReader if self.options.get("push") == "true" else ContainerReader)(dict(self.options))
 
 
 def read_container(spark: SparkSession, path: str, table: str = "arcs", **options: str) -> DataFrame:
     spark.dataSource.register(ContainerSource)
-    return spark.read.format("arc_container").options(table=table, **options).load(path)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("arc_container").options(table=table, push=pushes, **options).load(path)
+
+
+def decode_container(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """arcs, arc_refs and features of all layers, as read_topology gives them, so that they can be written again.
+
+    The format keeps no geometry types: one polygon or none is a Polygon, more a MultiPolygon.
+    Properties are JSON text, nested again by their paths.
+    """
+    c = Container(path)
+    refs = read_container(spark, path, "arc_refs")
+    polygons = refs.groupBy("layer", "geom_id").agg(F.max("poly_idx").alias("last"))
+    kind = F.when(F.coalesce("last", F.lit(0)) > 0, "MultiPolygon").otherwise("Polygon")
+    features = None
+    for layer in c.layers:
+        names = c.properties(layer)
+        rows = read_container(spark, path, "features", layer=layer)
+        nested = nest(rows, names).withColumn("properties", F.to_json("properties", {"ignoreNullFields": "false"})) if names else rows.withColumn("properties", F.lit("{}"))
+        one = nested.select(F.lit(layer).alias("layer"), "geom_id", "properties")
+        features = one if features is None else features.unionByName(one)
+    if features is None:
+        features = spark.createDataFrame([], "layer string, geom_id int, properties string")
+    features = features.join(polygons, ["layer", "geom_id"], "left").select("layer", "geom_id", kind.alias("geom_type"), "properties")
+    return {"arcs": read_container(spark, path), "arc_refs": refs, "features": features}
 
 
 def assemble(path: str, meta: dict, sections: list[tuple[str, str, bytes, bool]], stored: frozenset[str]) -> None:
@@ -304,28 +421,55 @@ def assemble(path: str, meta: dict, sections: list[tuple[str, str, bytes, bool]]
         f.write(bytes(out) + footer + struct.pack("<Q", len(footer)))
 
 
-def write_container(tables: dict[str, DataFrame], path: str, transform: dict | None = None, bbox: tuple = (0, 0, 0, 0), target: int = TARGET) -> None:
+def encode_batches(batches: Iterator[pa.RecordBatch], quantized: bool) -> Iterator[pa.RecordBatch]:
+    """arcs to (arc_id, data, byte_len and, if quantized, the ends): their bytes in the file."""
+    for batch in batches:
+        ids, data, ends = batch.column("arc_id").to_pylist(), [], []
+        for k, points in zip(ids, batch.column("points").to_pylist(), strict=True):
+            p = np.array([(q["x"], q["y"]) for q in points], float).reshape(-1, 2)
+            if quantized and (p != np.rint(p)).any():
+                raise ValueError(f"arc {k} has fractions but a transform is given")
+            data.append(varints(np.diff(p, axis=0, prepend=np.zeros((1, 2))).astype(np.int64).ravel())[0] if quantized else p.astype("<f8").tobytes())
+            ends.append([*p[0], *p[-1]] if len(p) else [0.0] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary()), pa.array([len(x) for x in data], pa.int64()), pa.array(ends, pa.list_(pa.float64()))], ["arc_id", "data", "byte_len", "ends"])
+
+
+def compress_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block's arcs, in order, to one frame of their bytes and one of their ends (four channels of deltas)."""
+    rows = rows.sort_values("arc_id")
+    ends = np.array(rows["ends"].tolist(), float)
+    frame = lambda x: zstandard.ZstdCompressor(level=19).compress(x)
+    deltas_ = frame(varints(np.diff(ends, axis=0, prepend=np.zeros((1, 4))).astype(np.int64).ravel())[0]) if (ends == np.rint(ends)).all() else b""
+    return pd.DataFrame({"block_id": [rows["block_id"].iloc[0]], "first": [rows["arc_id"].iloc[0]], "n_bytes": [int(rows["byte_len"].sum())], "frame": [frame(b"".join(rows["data"]))], "ends": [deltas_]})
+
+
+def write_container(tables: dict[str, DataFrame], path: str, transform: dict | None = None, bbox: tuple = (0, 0, 0, 0), target: int = TARGET, endpoints: bool = True) -> None:
     """arcs, arc_refs and features (properties as JSON text) to one file.
 
-    With a transform, points are integers and stored as deltas. Nested properties become
-    a/b columns. Arc and geometry ids must be dense; layer names hold no slash.
+    With a transform, points are integers and stored as deltas, and (with `endpoints`) a
+    section of arc ends is written. Nested properties become a/b columns. Arc and geometry
+    ids must be dense; layer names hold no slash. Arcs are encoded and compressed in
+    tasks; the driver puts compressed blocks and the columns together, as the file is one.
     """
-    raw, sizes = [], []
-    for k, r in enumerate(tables["arcs"].orderBy("arc_id").toLocalIterator()):
-        if r.arc_id != k:
-            raise ValueError(f"arc ids aren't dense at {k}")
-        p = np.array([(q.x, q.y) for q in r.points], float).reshape(-1, 2)
-        if transform and (p != np.rint(p)).any():
-            raise ValueError(f"arc {k} has fractions but a transform is given")
-        raw.append(varints(np.diff(p, axis=0, prepend=np.zeros((1, 2))).astype(np.int64).ravel())[0] if transform else p.astype("<f8").tobytes())
-        sizes.append(len(raw[-1]))
-    block, offsets = pack(sizes, target), np.cumsum([0, *sizes])
-    cuts = [k for k in range(len(block)) if not k or block[k] != block[k - 1]] + [len(block)]
-    frames, table, at = [], [], 0
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        frames.append(zstandard.ZstdCompressor(level=19).compress(b"".join(raw[a:b])))
-        table += [int(offsets[b]), at, len(frames[-1])]
-        at += len(frames[-1])
+    encoded = stored(tables["arcs"].select("arc_id", "points").mapInArrow(lambda b: encode_batches(b, bool(transform)), "arc_id int, data binary, byte_len long, ends array<double>"))
+    span = encoded.agg(F.count("*").alias("n"), F.count_distinct("arc_id").alias("d"), F.min("arc_id").alias("a"), F.max("arc_id").alias("b")).first()
+    if span.n and (span.d != span.n or span.a != 0 or span.b != span.n - 1):
+        raise ValueError(f"arc ids aren't dense: {span.n} arcs, {span.d} ids from {span.a} to {span.b}")
+    placed = stored(assign_blocks(encoded, target=target))
+    made = encoded.join(placed.select("arc_id", "block_id"), "arc_id").groupBy("block_id").applyInPandas(compress_blocks, "block_id long, first int, n_bytes long, frame binary, ends binary")
+    frames, table, at, end = [], [], 0, 0
+    ends_frames, ends_table, ends_at = [], [], 0
+    for r in made.orderBy("block_id").toLocalIterator():
+        frames.append(bytes(r.frame))
+        end += r.n_bytes
+        table += [end, at, len(r.frame)]
+        at += len(r.frame)
+        ends_frames.append(bytes(r.ends))
+        ends_table += [r.first, ends_at, len(r.ends)]
+        ends_at += len(r.ends)
+    sizes = [r.byte_len for r in placed.orderBy("arc_id").select("byte_len").toLocalIterator()]
+    discard(encoded, placed)
+    offsets = np.cumsum([0, *sizes])
     sections = [("arc_coord_blocks", "u32", np.array(table, "<u4").tobytes(), False), ("arc_offsets", "u32", deltas(offsets), True)]
     layers, columns = [], []
     features: dict[str, list] = {}
@@ -361,9 +505,14 @@ def write_container(tables: dict[str, DataFrame], path: str, transform: dict | N
             if name in STRUCTURE:
                 raise ValueError(f"a property can't be named {name}")
             columns.append((f"{layer}/{name}", *pack_column([x.get(name) for x in flat]), False))
-    meta = {"version": 2, "numArcs": len(raw), "bytesPerPoint": 8 if transform else 16, "transform": transform, "bbox": list(bbox)[:4], "layers": layers,
+    meta = {"version": 2, "numArcs": len(sizes), "bytesPerPoint": 8 if transform else 16, "transform": transform, "bbox": list(bbox)[:4], "layers": layers,
             "arcCoordsBlocks": {"blockTableSection": "arc_coord_blocks", "blockCount": len(frames), "targetBlockSize": target}}
-    assemble(path, meta, [*sections, *columns, ("arc_coords", "blob", b"".join(frames), False)], frozenset({"arc_coords"}))
+    blobs = [("arc_coords", "blob", b"".join(frames), False)]
+    if transform and endpoints and frames:
+        sections.append(("arc_ends_blocks", "u32", np.array(ends_table, "<u4").tobytes(), False))
+        blobs.append(("arc_endpoints", "blob", b"".join(ends_frames), False))
+        meta["arcEndpointsBlocks"] = {"blockTableSection": "arc_ends_blocks", "partitionsSection": "arc_endpoints", "blockCount": len(frames)}
+    assemble(path, meta, [*sections, *columns, *blobs], frozenset(x[0] for x in blobs))
 
 
 def leaves(properties: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
