@@ -22,11 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
         hot = hot_from(2 * rows)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("a", "m"))
-        large = stored(join_counted(both, low, ["a"], "_n", hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = join_counted(both, low, ["a"], "_n", hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
         small = join_counted(large, low, ["a"], "_n", hot).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         before, now = now, stored(small)
-        discard(before, large)
+        discard(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
