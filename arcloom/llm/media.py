@@ -286,22 +286,28 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     columns. The media table has one row for each digest, and only its rows are sent for
     digests that very many items share. A sequence without items gives no rows; columns of
     sequences named like an item's or the media table's are replaced by these. Sequences
-    are read twice, so they are best stored.
+    are read up to three times, so they are best stored; media is stored here where a digest is hot.
     """
     taken = {"pos", "kind", "text", "ref", "caption", "items", *media.columns}
     rows = sequences.select(*[f"`{c}`" for c in sequences.columns if c not in taken], F.inline("items"))
     rows = rows.withColumn("digest", F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 64)))
     named = rows.where("digest IS NOT NULL")
-    times = stored(named.groupBy("digest").agg(F.count("*").alias("_times")))
-    total = times.agg(F.sum("_times")).first()[0] or 0
-    found = join_counted(named, times.join(media, "digest", "left"), ["digest"], "_times", hot_from(total), "left")
     others = [F.lit(None).cast(f.dataType).alias(f.name) for f in media.schema if f.name != "digest"]
-    return found.unionByName(rows.where("digest IS NULL").select("*", *others))
+    without = rows.where("digest IS NULL").select("*", *others)
+    hot = hot_from(named.count())
+    # hot_from bounds how many digests these are, so one file holds them
+    many = stored(named.groupBy("digest").count().where(F.col("count") >= hot).select("digest", F.lit(True).alias("_hot")).repartition(1)) if hot else None
+    if many is None or many.isEmpty():
+        return named.join(media, "digest", "left").unionByName(without)
+    marked, media = named.join(F.broadcast(many), "digest", "left"), stored(media)
+    few = marked.where("_hot IS NULL").drop("_hot").join(media.join(F.broadcast(many), "digest", "left_anti"), "digest", "left")
+    often = marked.where("_hot").drop("_hot").join(F.broadcast(media.join(F.broadcast(many), "digest", "left_semi")), "digest", "left")
+    return often.unionByName(few).unionByName(without)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     media = stored(store_payloads(docs))
     sequences = stored(interleave(pages_of(docs, media)))
-    found = resolve(sequences, stored(read_media(media)))
+    found = resolve(sequences, read_media(media))
     return found.where("kind = 'media'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
