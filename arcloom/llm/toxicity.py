@@ -23,6 +23,8 @@ BITS = 18
 #: Documents that training may look at: a bound, whatever the size of the tables.
 SAMPLE = 6000
 STEPS, RATE, DECAY, BIAS = 100, 0.1, 1e-3, -6.0
+#: Documents whose features are counted at once.
+TOGETHER = 250
 #: A feature is learnt if its odds differ by so many standard errors, and if that many training documents have it.
 ERRORS, LEAST_DOCS = 5.5, 3
 #: It starts at its log odds less so many standard errors.
@@ -88,13 +90,18 @@ def train(docs: list[str], labels: np.ndarray) -> np.ndarray:
     # how many documents of either label have each feature
     pairs = np.unique(doc_of[sentence_of].astype(np.int64) * len(listed) + words)
     order = np.argsort(of_word, kind="stable")
-    first = np.searchsorted(of_word[order], np.arange(len(listed) + 1))
-    d, x = pairs // len(listed), pairs % len(listed)
-    counts = np.diff(first)[x]
-    spread = np.repeat(first[x] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    both = np.unique(np.repeat(d, counts) << BITS | feats[order][spread])
-    d, f = both >> BITS, both & ((1 << BITS) - 1)
-    bad, good = np.bincount(f, y[d], 1 << BITS), np.bincount(f, ~y[d], 1 << BITS)
+    first, sorted_feats = np.searchsorted(of_word[order], np.arange(len(listed) + 1)), feats[order]
+    docs_of, words_of = pairs // len(listed), pairs % len(listed)
+    bad, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    # some documents at a time, as all words' features together take many times the texts' size
+    cuts = np.searchsorted(docs_of, np.arange(0, len(docs) + TOGETHER, TOGETHER))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        d, x = docs_of[a:b], words_of[a:b]
+        counts = np.diff(first)[x]
+        spread = np.repeat(first[x] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        both = np.unique(np.repeat(d, counts) << BITS | sorted_feats[spread])
+        d, f = both >> BITS, both & ((1 << BITS) - 1)
+        bad, good = bad + np.bincount(f, y[d], 1 << BITS), good + np.bincount(f, ~y[d], 1 << BITS)
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((~y).sum() + 1))
     learnt = (odds > 0) & (bad + good >= LEAST_DOCS) & (evidence(bad, good, y.sum(), (~y).sum()) >= ERRORS**2)
     w[:-1][learnt] = np.maximum(odds - SURE * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)), 0.1)[learnt]
