@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, hot_from, join_counted, stored
 
+#: Rows of a round for each of its files, and files that a round can have however few its rows.
+FILE_ROWS, FILES = 200_000, 8
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b), root being the smallest node reachable; any orderable type.
@@ -25,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = join_counted(both, low, ["a"], "_n", hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
         small = join_counted(large, low, ["a"], "_n", hot).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        before, now = now, stored(small)
+        # a round has at most twice the rows of the last one, and few rows don't need a file of each shuffle partition
+        before, now = now, stored(small.coalesce(max(FILES, -(-2 * rows // FILE_ROWS))))
         discard(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
