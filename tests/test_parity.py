@@ -122,6 +122,26 @@ def test_greedy_path_equals_a_scan():
         assert order.greedy_tier(rows).sort_values("step")["arc_id"].tolist() == path
 
 
+def test_greedy_path_over_long_and_crowded_tiers():
+    import time
+
+    import pandas as pd
+
+    def tier(x, y):
+        rows = pd.DataFrame({"arc_id": np.arange(len(x)), "ref_count": 2, "outline": False, "sx": x, "sy": y})
+        return order.greedy_tier(rows).sort_values("step")["arc_id"].tolist()
+
+    # far longer than wide, two arcs a place; nearly all in one corner of the box
+    began, k = time.time(), np.arange(120_000)
+    assert len(set(tier((k // 2) % 25 + 0.0, (k // 50) + 0.0))) == len(k)
+    corner = np.where(k == 7, 1e9, (k * 7919) % 65_537 / 65_537)
+    assert tier(corner, np.zeros(len(k))) == sorted(range(len(k)), key=lambda i: (corner[i], i))
+    assert time.time() - began < 20
+    # arcs without points, and a tier of nothing else
+    assert tier(np.array([np.nan, 5.0, 1.0, np.nan, 4.0]), np.array([np.nan, 0.0, 0.0, np.nan, 0.0])) == [2, 4, 1, 0, 3]
+    assert tier(np.full(3, np.nan), np.full(3, np.nan)) == [0, 1, 2]
+
+
 def test_polygons_without_rings_are_skipped(spark):
     """A component that cancels as a whole gives no polygon; the others keep their order."""
     tri = lambda k: [[[k, 0], [k + 1, 0]], [[k + 1, 0], [k, 1]], [[k, 1], [k, 0]]]
