@@ -16,7 +16,7 @@ from ..functions.ordered import prefix_sum
 from ..operators import blocks, merge, neighbors, order, props
 from ..sources.container import decode_container, read_container, rewrite_container, write_container
 from ..sources.grid import WIDTH, grid, refs_of, tile_selection
-from ..sources.topojson import read_topology, write_topology
+from ..sources.topojson import load_topology, save_topology
 from ..storage import shared_dir
 
 QUERIES: dict = {}
@@ -530,8 +530,10 @@ def rewrite_property(spark, d):
 
 @query("SELECT geom_id, pos, arc_ref FROM r")
 def topojson_roundtrip(spark, d):
-    """The topology as one JSON document and back, through the container's tables."""
-    return read_topology(spark, write_topology(decode_container(spark, stored_grid(spark, d))))["arc_refs"].select("geom_id", "pos", "arc_ref")
+    """The topology as one JSON document in a file and back, through the container's tables."""
+    path = f"{shared_dir(spark)}/topology-{uuid.uuid4().hex}"
+    save_topology(decode_container(spark, stored_grid(spark, d)), path)
+    return load_topology(spark, path)["arc_refs"].select("geom_id", "pos", "arc_ref")
 
 
 def queries() -> dict:

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.blocks import TARGET, assign_blocks
 from ..operators.props import nest
-from ..storage import discard, stored
-from .topojson import REFS
+from ..storage import discard, located, stored
+from .topojson import ARCS, REFS
 
 #: Fixed values of the format: magic, version 2.0.0, sizes, element types, codec names.
 MAGIC, VERSION, MAJORS = b"CTPO", 2 << 24, (1, 2)
@@ -33,15 +32,10 @@ CODECS = {"zst": "zstd", "br": "brotli"}
 STRUCTURE = ("poly_offsets", "ring_offsets", "arc_refs", "arc_refs_blocks", "arc_refs_partitions", "multi_poly_breaks")
 SPARK_TYPES = {"i8": "tinyint", "u8": "smallint", "i16": "smallint", "u16": "int", "i32": "int", "u32": "bigint", "f64": "double", "strings": "string"}
 ENDPOINTS = "arc_id int, sx double, sy double, ex double, ey double"
-ARCS = "arc_id int, points array<struct<x:double,y:double>>, sx double, sy double, ex double, ey double"
 #: Compressed bytes of arc blocks that a task reads.
 SPLIT = 8 << 20
 
 
-def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 def varints(values: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Zigzag LEB128 of 32-bit integers, and how many bytes each takes."""
     v = np.asarray(values, np.int64)
@@ -245,17 +239,25 @@ def endpoint_batch(c: Container, part: Part, wanted) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int32()), *(pa.array(rows[keep, k].astype(float)) for k in range(4))], ["arc_id", "sx", "sy", "ex", "ey"])
 
 
-def ref_rows(c: Container, layer: str) -> Iterator[tuple]:
-    rings_of, refs_of, refs = c.numbers(f"{layer}/poly_offsets").tolist(), c.numbers(f"{layer}/ring_offsets").tolist(), c.arc_refs(layer).tolist()
-    starts = set(c.numbers(f"{layer}/multi_poly_breaks").tolist()[1::2]) if f"{layer}/multi_poly_breaks" in c.sections else set()
-    for g in range(c.layers[layer]["numGeometries"]):
-        p = r = 0
-        for ring in range(rings_of[g], rings_of[g + 1]):
-            if ring in starts and ring > rings_of[g]:
-                p, r = p + 1, 0
-            for n, ref in enumerate(refs[refs_of[ring] : refs_of[ring + 1]]):
-                yield layer, g, p, r, n, ref, ref if ref >= 0 else ~ref, ref >= 0
-            r += 1
+def ref_batches(c: Container, layer: str, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The references of a layer."""
+    n = c.layers[layer]["numGeometries"]
+    rings_of, refs_of = c.numbers(f"{layer}/poly_offsets").astype(np.int64)[: n + 1], c.numbers(f"{layer}/ring_offsets").astype(np.int64)
+    ring = np.arange(rings_of[0], rings_of[-1])
+    geometry = np.repeat(np.arange(n), np.diff(rings_of))
+    first = ring == rings_of[geometry]
+    breaks = c.numbers(f"{layer}/multi_poly_breaks")[1::2] if f"{layer}/multi_poly_breaks" in c.sections else []
+    new = np.isin(ring, breaks) & ~first
+    poly = np.cumsum(new)
+    poly -= poly[rings_of[geometry] - rings_of[0]]
+    within = ring - np.maximum.accumulate(np.where(new | first, ring, 0)) if len(ring) else ring
+    size = np.diff(refs_of)[ring]
+    refs = c.arc_refs(layer)[refs_of[rings_of[0]] : refs_of[rings_of[-1]]].astype(np.int32)
+    pos = np.arange(len(refs)) - np.repeat(refs_of[ring] - refs_of[rings_of[0]], size)
+    numbers = [np.repeat(geometry, size), np.repeat(poly, size), np.repeat(within, size), pos, refs, np.where(refs < 0, ~refs, refs)]
+    for at in range(0, len(refs), rows):
+        part = [pa.array(x[at : at + rows].astype(np.int32)) for x in numbers]
+        yield pa.RecordBatch.from_arrays([pa.array([layer] * len(part[0]), pa.string()), *part, pa.array(refs[at : at + rows] >= 0)], [x.split()[0] for x in REFS.split(", ")])
 
 
 class Part(InputPartition):
@@ -330,7 +332,7 @@ class ContainerReader(DataSourceReader):
         elif self.table == "endpoints":
             yield endpoint_batch(c, part, self.wanted) if c.has_endpoints() else arc_batch(c, part, self.wanted).select(["arc_id", "sx", "sy", "ex", "ey"])
         elif self.table == "arc_refs":
-            yield from ref_rows(c, part.layer)
+            yield from ref_batches(c, part.layer)
         else:
             names = c.properties(part.layer) if self.columns is None else self.columns
             yield from zip(range(c.layers[part.layer]["numGeometries"]), *[c.column(f"{part.layer}/{n}") for n in names], strict=True)
@@ -443,6 +445,34 @@ def compress_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block_id": [rows["block_id"].iloc[0]], "first": [rows["arc_id"].iloc[0]], "n_bytes": [int(rows["byte_len"].sum())], "frame": [frame(b"".join(rows["data"]))], "ends": [deltas_]})
 
 
+def ordered_numbers(df: DataFrame, order: list[str], columns: list[str]) -> list[np.ndarray]:
+    """Integer columns in that order; they come to the driver as bytes, not as rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(b.column(c)).astype("<i4").tobytes()], pa.binary()) for c in columns], columns)
+
+    packed = df.orderBy(*order).select(*columns).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns))
+    parts = [[bytes(x) for x in r] for r in packed.toLocalIterator()]
+    return [np.frombuffer(b"".join(p[k] for p in parts), "<i4") for k in range(len(columns))]
+
+
+def property_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted features to each column's values, compressed; a row without a name for each run of dense ids."""
+    for batch in batches:
+        layers, ids = batch.column("layer").to_pylist(), batch.column("geom_id").to_pylist()
+        cuts = [k for k in range(len(ids)) if not k or layers[k] != layers[k - 1] or ids[k] != ids[k - 1] + 1]
+        rows = []
+        for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+            flat = [dict(leaves(json.loads(x or "{}"))) for x in batch.column("properties")[a:b].to_pylist()]
+            rows.append((layers[a], ids[a], b - a, None, None))
+            for name in dict.fromkeys(n for x in flat for n in x):
+                rows.append((layers[a], ids[a], b - a, name, zstandard.ZstdCompressor().compress(json.dumps([x.get(name) for x in flat]).encode())))
+        if rows:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["layer", "first", "n", "name", "data"])
+
+
 def write_container(tables: dict[str, DataFrame], path: str, transform: dict | None = None, bbox: tuple = (0, 0, 0, 0), target: int = TARGET, endpoints: bool = True) -> None:
     """arcs, arc_refs and features (properties as JSON text) to one file.
 
@@ -467,44 +497,41 @@ def write_container(tables: dict[str, DataFrame], path: str, transform: dict | N
         ends_frames.append(bytes(r.ends))
         ends_table += [r.first, ends_at, len(r.ends)]
         ends_at += len(r.ends)
-    sizes = [r.byte_len for r in placed.orderBy("arc_id").select("byte_len").toLocalIterator()]
+    sizes = ordered_numbers(placed, ["arc_id"], ["byte_len"])[0].astype(np.int64)
     discard(encoded, placed)
-    offsets = np.cumsum([0, *sizes])
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
     sections = [("arc_coord_blocks", "u32", np.array(table, "<u4").tobytes(), False), ("arc_offsets", "u32", deltas(offsets), True)]
     layers, columns = [], []
-    features: dict[str, list] = {}
-    for r in tables["features"].orderBy("layer", "geom_id").toLocalIterator():
-        if "/" in r.layer or r.geom_id != len(features.setdefault(r.layer, [])):
+    counts: dict[str, int] = {}
+    values: dict[str, dict[str, list]] = {}
+    chunks = tables["features"].select("layer", "geom_id", "properties").orderBy("layer", "geom_id").mapInArrow(property_batches, "layer string, first long, n long, name string, data binary")
+    for r in chunks.toLocalIterator():
+        if r.name is not None:
+            values[r.layer].setdefault(r.name, []).append((r.first, r.n, bytes(r.data)))
+            continue
+        if "/" in r.layer or r.first != counts.setdefault(r.layer, 0):
             raise ValueError(f"layer {r.layer}: a slash in the name, or geometry ids that aren't dense")
-        features[r.layer].append(json.loads(r.properties or "{}"))
-    nested: dict[str, dict[int, list]] = {x: {} for x in features}
-    last = None
-    for r in tables["arc_refs"].orderBy("layer", "geom_id", "poly_idx", "ring_idx", "pos").toLocalIterator():
-        key = (r.layer, r.geom_id, r.poly_idx, r.ring_idx)
-        rings = nested[r.layer].setdefault(r.geom_id, [])
-        if key != last:
-            rings.append((r.poly_idx, []))
-        rings[-1][1].append(r.arc_ref)
-        last = key
-    for layer, rows in features.items():
-        rings_of, refs_of, refs, breaks = [0], [0], [], []
-        for g in range(len(rows)):
-            rings = nested[layer].get(g, [])
-            for k, (poly, ring) in enumerate(rings):
-                if k and poly != rings[k - 1][0]:
-                    breaks += [g, len(refs_of) - 1]
-                refs += ring
-                refs_of.append(len(refs))
-            rings_of.append(len(refs_of) - 1)
-        sections += [(f"{layer}/poly_offsets", "u32", deltas(rings_of), True), (f"{layer}/ring_offsets", "u32", deltas(refs_of), True), (f"{layer}/arc_refs", "i32", np.array(refs, "<i4").tobytes(), False)]
-        if breaks:
-            sections.append((f"{layer}/multi_poly_breaks", "u32", np.array(breaks, "<u4").tobytes(), False))
-        layers.append({"name": layer, "numGeometries": len(rows)})
-        flat = [dict(leaves(x)) for x in rows]
-        for name in dict.fromkeys(n for x in flat for n in x):
+        counts[r.layer] += r.n
+        values.setdefault(r.layer, {})
+    if unknown := {r.layer for r in tables["arc_refs"].select("layer").distinct().collect()} - set(counts):
+        raise ValueError(f"references of layers without features: {sorted(unknown)}")
+    for layer, n in counts.items():
+        own = tables["arc_refs"].where((F.col("layer") == layer) & F.col("geom_id").between(0, n - 1))
+        g, poly, ring, refs = ordered_numbers(own, ["geom_id", "poly_idx", "ring_idx", "pos"], ["geom_id", "poly_idx", "ring_idx", "arc_ref"])
+        starts = np.flatnonzero(np.concatenate(([len(g) > 0], (np.diff(g) != 0) | (np.diff(poly) != 0) | (np.diff(ring) != 0)))[: len(g)])
+        of, part = g[starts], poly[starts]
+        breaks = 1 + np.flatnonzero((np.diff(of) == 0) & (np.diff(part) != 0))
+        sections += [(f"{layer}/poly_offsets", "u32", deltas(np.searchsorted(of, np.arange(n + 1))), True), (f"{layer}/ring_offsets", "u32", deltas(np.append(starts, len(refs))), True), (f"{layer}/arc_refs", "i32", refs.tobytes(), False)]
+        if len(breaks):
+            sections.append((f"{layer}/multi_poly_breaks", "u32", np.column_stack([of[breaks], breaks]).astype("<u4").tobytes(), False))
+        layers.append({"name": layer, "numGeometries": n})
+        for name, found in values.pop(layer).items():
             if name in STRUCTURE:
                 raise ValueError(f"a property can't be named {name}")
-            columns.append((f"{layer}/{name}", *pack_column([x.get(name) for x in flat]), False))
+            column: list = [None] * n
+            for first, m, data in found:
+                column[first : first + m] = json.loads(zstandard.ZstdDecompressor().decompress(data))
+            columns.append((f"{layer}/{name}", *pack_column(column), False))
     meta = {"version": 2, "numArcs": len(sizes), "bytesPerPoint": 8 if transform else 16, "transform": transform, "bbox": list(bbox)[:4], "layers": layers,
             "arcCoordsBlocks": {"blockTableSection": "arc_coord_blocks", "blockCount": len(frames), "targetBlockSize": target}}
     blobs = [("arc_coords", "blob", b"".join(frames), False)]

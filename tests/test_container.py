@@ -102,3 +102,34 @@ def test_partitioned_sections(spark, tmp_path):
     for k, name in enumerate(("g1", "g2")):
         p.sections[name] = {"type": "i32", "compression": "zst", "offset": -1, "length": len(small), "groupOffset": 8 * k, "groupLength": 8, "uncompressedRegionLength": 16}
     assert p.numbers("g1").tolist() == [1, 2] and p.numbers("g2").tolist() == [3, 4]
+
+
+def test_topology_document_in_a_file(spark, tmp_path, monkeypatch):
+    from arcloom.sources import topojson as tj
+
+    path, out = tmp_path / "in", tmp_path / "out"
+    layers = {"münze": [{"type": "MultiPolygon", "arcs": [[[0, 1], [2]], [[~2]]], "properties": {"id": "ä]}\"", "n": {"a": None}}}, {"type": "Point"}, {"type": "Polygon", "arcs": []}, *({"type": "Polygon", "arcs": [[k, ~0]], "properties": {"k": k}} for k in range(40))], "none": []}
+    arcs = [[[0, 0], [1000, 0.5]], [[1e300, 0], [0, -1e-7]], [], [[5, 5, 9], [7, 7, 9]], *([[k, 1], [1, 1]] for k in range(40))]
+    text = json.dumps({"bbox": [0], "objects": {k: {"geometries": v, "type": "GeometryCollection"} for k, v in layers.items()}, "arcs": arcs, "transform": {"scale": [1, 1], "translate": [0, 0]}}, indent=1, ensure_ascii=False)
+    path.write_text(text)
+    want, got = read_topology(spark, text), tj.load_topology(spark, str(path))
+    tj.save_topology(want, str(out))
+    assert json.loads(out.read_text()) == json.loads(tj.write_topology(want))
+    for name, order in {"arcs": ["arc_id"], "features": ["layer", "geom_id"], "arc_refs": ["layer", "geom_id", "poly_idx", "ring_idx", "pos"]}.items():
+        assert got[name].orderBy(*order).collect() == want[name].orderBy(*order).collect() and got[name].dtypes == want[name].dtypes
+    # the same values from few bytes at a time and in small pieces
+    monkeypatch.setattr(tj, "READ", 7)
+    monkeypatch.setattr(tj, "PIECE", 40)
+    for file in (path, out):
+        found = {}
+        for kind, layer, first, offset, length in tj.scanned(str(file)):
+            if kind != "transform":
+                values = found.setdefault((kind, layer), [])
+                assert first == len(values)
+                values += json.loads(b"[" + file.read_bytes()[offset : offset + length] + b"]")
+        whole = json.loads(file.read_text())
+        assert found == {("geometry", "münze"): whole["objects"]["münze"]["geometries"], ("arc", None): whole["arcs"]}
+    for bad in ('{"arcs": []}', '{"arcs": [], "objects": {"x": {"type": "Polygon", "arcs": []}}}', '{"arcs": [], "objects": {}', '{"arcs": [], "arcs": [], "objects": {}}'):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            list(tj.scanned(str(path)))
