@@ -399,16 +399,19 @@ def encode_batches(batches: Iterator[pa.RecordBatch], lexicon: str) -> Iterator[
             yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(part.columns) if k != at), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], [*(x for x in batch.schema.names if x != "text"), "ids"])
 
 
-def decode_batches(batches: Iterator[pa.RecordBatch], lexicon: str) -> Iterator[pa.RecordBatch]:
-    """Adds text, decoded from ids."""
+def decode_batches(batches: Iterator[pa.RecordBatch], lexicon: str, most: int = BLOCK // 4) -> Iterator[pa.RecordBatch]:
+    """Adds text, decoded from ids: rows of `most` ids at once (or one row), as the work takes many times their size."""
     lex = Lexicon(SparkFiles.get(lexicon))
     for batch in batches:
-        ids = batch.column("ids")
-        bounds = np.asarray(ids.offsets).astype(np.int64)
-        data, ends = lex.decode(np.asarray(ids.values)[bounds[0] : bounds[-1]])
-        cuts = np.concatenate(([0], ends))[bounds - bounds[0]].tolist()
-        out = [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
+        bounds, done = np.asarray(batch.column("ids").offsets).astype(np.int64), 0
+        while done < batch.num_rows:
+            to = max(done + 1, int(np.searchsorted(bounds, bounds[done] + most, side="right")) - 1)
+            part, at = batch.slice(done, to - done), bounds[done : to + 1]
+            data, ends = lex.decode(np.asarray(batch.column("ids").values)[at[0] : at[-1]])
+            cuts = np.concatenate(([0], ends))[at - at[0]].tolist()
+            out = [data[x:y].decode("utf-8", "replace") for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
+            done = to
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON, least: int = LEAST) -> list[str]:
@@ -450,6 +453,13 @@ def decode_ids(encoded: DataFrame, lexicon: str) -> DataFrame:
     return encoded.mapInArrow(lambda b: decode_batches(b, lexicon), ", ".join([*fields, "text string"]))
 
 
+def encode_and_decode(docs: DataFrame, lexicon: str) -> DataFrame:
+    """decode_ids(encode_texts(docs)) in one Python worker a task, so that ids are decoded in blocks as small as they are made."""
+    kept = docs.drop("ids")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"]
+    return kept.mapInArrow(lambda b: decode_batches(encode_batches(b, lexicon), lexicon), ", ".join([*fields, "ids array<int>", "text string"]))
+
+
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")

@@ -73,7 +73,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, their number, and whether they decode to the text again."""
     lexicon = bpe.compile_lexicon(spark, bpe.default_vocabulary(), bpe.frequent_words(docs))
     rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
-    back = bpe.decode_ids(bpe.encode_texts(rows, lexicon), lexicon)
+    back = bpe.encode_and_decode(rows, lexicon)
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.md5("text") == F.col("md5")).alias("round_trip"))
 
 

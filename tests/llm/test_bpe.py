@@ -48,3 +48,34 @@ def test_automaton_numbers_words():
 def test_empty_table(spark):
     lexicon = bpe.compile_lexicon(spark, bpe.default_vocabulary(), [])
     assert bpe.encode_texts(spark.createDataFrame([], "doc_id long, text string"), lexicon).count() == 0
+
+
+def test_pipeline_encodes_and_decodes_in_one_worker(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.encode(spark, docs, sf)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    lexicon = bpe.compile_lexicon(spark, bpe.default_vocabulary(), bpe.frequent_words(docs))
+    chained = {r.doc_id: r.ids for r in bpe.encode_texts(docs.select("doc_id", "text"), lexicon).collect()}
+    assert {r.doc_id: r.ids for r in out.collect()} == chained and all(r.round_trip for r in out.collect())
+
+
+def test_decoding_takes_few_ids_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = []
+
+    class Lexicon:
+        def decode(self, ids):
+            sizes.append(len(ids))
+            return bytes(ids.astype(np.uint8)), np.arange(1, len(ids) + 1)
+
+    monkeypatch.setattr(bpe, "Lexicon", lambda path: Lexicon())
+    monkeypatch.setattr(bpe, "SparkFiles", type("S", (), {"get": staticmethod(lambda x: x)}))
+    rows = [[97] * k for k in (3, 0, 2, 9, 1, 0, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, bpe.IDS)], ["ids"]).slice(1)
+    out = list(bpe.decode_batches(iter([batch]), "", 5))
+    assert [x for b in out for x in b.column("text").to_pylist()] == ["a" * len(r) for r in rows[1:]]
+    assert [x for b in out for x in b.column("ids").to_pylist()] == rows[1:] and sizes == [2, 9, 5]
