@@ -21,14 +21,15 @@ W = WINDOW - K + 1
 #: Fingerprints of the benchmark up to this number (each has a fixed size, about 250 bytes) are broadcast, more
 #: are joined by a shuffle in which each hash is dealt over SALTS tasks. Ids up to BROADCAST_IDS are broadcast.
 BROADCAST_ROWS, SALTS, BROADCAST_IDS = 200_000, 16, 1_000_000
-#: Fixed value: what a word is, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what lies between words, after A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     # lower() differs from lower-casing A-Z only where other letters occur
     lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    # a split takes a sixth of the time of regexp_extract_all; it gives empty words where a text begins or ends between words
+    return F.coalesce(F.array_remove(F.split(lowered, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def up_to(n: Column) -> Column:

@@ -7,6 +7,7 @@ from base64 import b64encode, urlsafe_b64encode
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arcloom.llm import chat_format, decontaminate, licenses, media, near_dedup, registry, secrets, substring_dedup, toxicity, url_filter
 
@@ -242,3 +243,12 @@ def test_pipeline(spark, sf):
         docs = after
     assert ids(p.STAGES[-1][1](spark, docs, sf)) == ids(docs)
     assert json.dumps([n for n, _ in p.STAGES])
+
+
+def test_words_of_any_text_without_extracting_each(spark):
+    odd = [None, "", " ", ".", "a", ".a", "a.", "AİB K", "\0x\0", "\U0001f600 Z9\U0001d400", "éA-Éa", "\x7fA\x80B", "a\r\n\tb", " A ", "﻿A", "x" * 70_000 + "."]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").select("doc_id", decontaminate.words_of(F.col("text")).alias("w"))
+    lower = str.maketrans(decontaminate.ASCII_UPPER, decontaminate.ASCII_LOWER)
+    assert {r.doc_id: r.w for r in docs.collect()} == {k: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate(lower)) for k, x in enumerate(odd)}
+    # one match result a word took five sixths of the time of words_of
+    assert "regexp_extract_all" not in docs._jdf.queryExecution().analyzed().toString()
