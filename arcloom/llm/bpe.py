@@ -24,14 +24,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, load, sha, stored, texts
+from .common import discard, in_parts, load, sha, stored, texts
 
 #: Fixed value: the pattern by which a text is cut into pieces before the merges.
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Words in the lexicon, and how often one must occur.
 LEXICON, LEAST = 32_768, 8
 #: Longest word in the lexicon and longest piece merged in numpy, in bytes; bytes of text handled at once.
-LONGEST, WIDE, BLOCK = 32, 64, 2 << 20
+LONGEST, WIDE, BLOCK = 32, 64, 1 << 20
 NONE = np.int32(2**31 - 1)
 #: Folders of the driver with lexicon files; they go when the process ends.
 SERVED: list[tempfile.TemporaryDirectory] = []
@@ -372,31 +372,16 @@ class Lexicon:
         return self.token_bytes[ranges(self.token_at[ids], size)].tobytes(), np.cumsum(size)
 
 
-def blocks(docs: list[bytes]) -> Iterator[list[bytes]]:
-    block, size = [], 0
-    for d in docs:
-        if block and size + len(d) > BLOCK:
-            yield block
-            block, size = [], 0
-        block.append(d)
-        size += len(d)
-    if block:
-        yield block
-
-
 IDS = pa.list_(pa.int32())
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], lexicon: str) -> Iterator[pa.RecordBatch]:
     """Replaces text by ids."""
     lex = Lexicon(SparkFiles.get(lexicon))
-    for batch in batches:
-        at, done = batch.schema.get_field_index("text"), 0
-        for block in blocks(texts(batch)):
-            ids, bounds = lex.encode(block)
-            part = batch.slice(done, len(block))
-            done += len(block)
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(part.columns) if k != at), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], [*(x for x in batch.schema.names if x != "text"), "ids"])
+    for part in in_parts(batches, BLOCK):
+        at = part.schema.get_field_index("text")
+        ids, bounds = lex.encode(texts(part))
+        yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(part.columns) if k != at), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], [*(x for x in part.schema.names if x != "text"), "ids"])
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], lexicon: str, most: int = BLOCK // 4) -> Iterator[pa.RecordBatch]:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import at_most, discard, hot_from, join_counted, stored  # noqa: F401  (used by the operators)
 
+#: Bytes of text that a Python worker handles at once; a longer text is handled by itself.
+AT_ONCE = 4 << 20
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,5 +66,28 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; a worker would keep it, for as long as it waits for the next stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], most: int = AT_ONCE, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """All rows of the batches, in parts of at most `most` bytes of text or of one row.
+
+    An Arrow batch has up to 10,000 rows, and the work on texts takes several times their size.
+    """
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        ends, done = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)), 0
+        while done < batch.num_rows:
+            before = ends[done - 1] if done else 0
+            to = max(done + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(done, to - done)
+            give_back()
+            done = to
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import WordHashes, at_most, discard, hot_from, join_counted, load, mix, runs_hash, stored, texts
+from .common import WordHashes, at_most, discard, hot_from, in_parts, join_counted, load, mix, runs_hash, stored, texts
 
 #: Words in a shingle; minima that neighbours must share, and those of deeper groups, the last of which are compared whole.
 SHINGLE, DEPTH, DEEPER = 5, 4, (8, 12, 16)
@@ -97,7 +97,7 @@ SKETCH = "doc_id long, text_hash long, n long, d1 long, d2 long, sig binary"
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
     words, seeds = WordHashes(), forest.seeds
-    for batch in batches:
+    for batch in in_parts(batches):
         rows = []
         for text in texts(batch):
             s = shingles(text, words)
@@ -115,7 +115,7 @@ def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([0, *map(len, sets)])
         return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "s"])
 
-    for batch in batches:
+    for batch in in_parts(batches):
         reps, sets, size = [], [], 0
         for rep, text in zip(batch.column("rep").to_pylist(), texts(batch), strict=True):
             reps.append(rep)

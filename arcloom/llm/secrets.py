@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, sha, texts
+from .common import in_parts, load, sha, texts
 
 #: Kinds in the order in which spans are listed.
 KINDS = ["assign", "access", "hex", "pem", "jwt", "der", "openssh"]
@@ -267,24 +267,11 @@ def scan_batch(docs: list[bytes]) -> list[list[tuple[int, int, int]]]:
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-#: Bytes of text scanned at once; a longer text is scanned by itself.
-BLOCK = 8 << 20
-
-
-def blocks(docs: list[bytes]) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for k, x in enumerate(docs):
-        if size and size + len(x) > BLOCK:
-            yield at, k
-            at, size = k, 0
-        size += len(x)
-    yield at, len(docs)
 
 
 def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs = texts(batch)
-        spans = [[{"kind": KINDS[kind], "start": a, "end": b} for a, kind, b in x] for i, j in blocks(docs) for x in scan_batch(docs[i:j])]
+    for batch in in_parts(batches):
+        spans = [[{"kind": KINDS[kind], "start": a, "end": b} for a, kind, b in x] for x in scan_batch(texts(batch))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, SPAN)], [*batch.schema.names, "spans"])
 
 

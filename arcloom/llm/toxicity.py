@@ -9,6 +9,7 @@ probability is high are the offending ones.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import give_back, in_parts, load
 
 BITS = 18
 #: Documents that training may look at: a bound, whatever the size of the tables.
@@ -65,7 +66,7 @@ def train(docs: list[str], labels: np.ndarray) -> np.ndarray:
     for that. They start at the features' log odds and only sure ones are learnt.
     """
     ids: dict[str, int] = {}
-    words, sentence_of, doc_of = [], [], []
+    words, sentence_of, doc_of = array("i"), array("i"), array("i")
     sentence = -1
     for d, text in enumerate(docs):
         opened = False
@@ -82,16 +83,19 @@ def train(docs: list[str], labels: np.ndarray) -> np.ndarray:
     w[-1] = BIAS
     if not words or not len(np.unique(labels)) > 1:
         return w
-    words, sentence_of, doc_of = np.array(words), np.array(sentence_of), np.array(doc_of)
-    listed = [features(x) for x in ids]
-    of_word = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
-    feats = np.concatenate([np.array(x) for x in listed])
+    words, sentence_of, doc_of = (np.frombuffer(x, np.int32) for x in (words, sentence_of, doc_of))
+    n_words, per_word, feats = len(ids), array("i"), array("q")
+    for x in ids:
+        listed = features(x)
+        per_word.append(len(listed))
+        feats.extend(listed)
+    of_word, feats = np.repeat(np.arange(n_words), per_word), np.frombuffer(feats, np.int64)
     y = labels.astype(bool)
     # how many documents of either label have each feature
-    pairs = np.unique(doc_of[sentence_of].astype(np.int64) * len(listed) + words)
+    pairs = np.unique(doc_of[sentence_of].astype(np.int64) * n_words + words)
     order = np.argsort(of_word, kind="stable")
-    first, sorted_feats = np.searchsorted(of_word[order], np.arange(len(listed) + 1)), feats[order]
-    docs_of, words_of = pairs // len(listed), pairs % len(listed)
+    first, sorted_feats = np.searchsorted(of_word[order], np.arange(n_words + 1)), feats[order]
+    docs_of, words_of = pairs // n_words, pairs % n_words
     bad, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
     # some documents at a time, as all words' features together take many times the texts' size
     cuts = np.searchsorted(docs_of, np.arange(0, len(docs) + TOGETHER, TOGETHER))
@@ -108,13 +112,13 @@ def train(docs: list[str], labels: np.ndarray) -> np.ndarray:
     of_word, feats = of_word[learnt[feats]], feats[learnt[feats]]
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        score = np.bincount(of_word, w[feats], len(listed))
+        score = np.bincount(of_word, w[feats], n_words)
         z = np.clip(np.bincount(sentence_of, score[words], sentence + 1) + w[-1], -30, 30)
         total = np.maximum(np.bincount(doc_of, np.logaddexp(0, z), len(docs)), 1e-9)
         slope = np.where(y, -np.exp(-total) / -np.expm1(-total), 1.0)
         dz = slope[doc_of] / (1 + np.exp(-z)) / len(docs)
         g = np.empty_like(w)
-        g[:-1] = np.bincount(feats, np.bincount(words, dz[sentence_of], len(listed))[of_word], 1 << BITS)
+        g[:-1] = np.bincount(feats, np.bincount(words, dz[sentence_of], n_words)[of_word], 1 << BITS)
         g[-1] = dz.sum()
         g[:-1] += DECAY * w[:-1] / len(docs)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -172,8 +176,11 @@ def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs += [x or "" for x in batch.column("text").to_pylist()]
         labels += batch.column("label").to_pylist()
+    batch = None  # docs has its texts
     order = sorted(range(len(docs)), key=lambda k: (docs[k], labels[k]))
     weights = train([docs[k] for k in order], np.array([labels[k] for k in order]))
+    docs = order = None
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
 
@@ -216,7 +223,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(sent.value.astype(float))
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = [score(x or "", scores) for x in batch.column("text").to_pylist()]
             p = np.array([x[0] for x in rows])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([x[1] for x in rows], span)], [*batch.schema.names, "score", "predicted", "offending"])
